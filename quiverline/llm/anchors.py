@@ -7,13 +7,16 @@ row for each anchor of a document is enough to find the anchors that occur more
 than once; only stretches of windows with such an anchor are then dealt out by
 it, and each group holds every occurrence of its windows.
 
-Anchors with more than ``hot`` occurrences are not dealt out as groups: their
-windows go one by one under a 128-bit hash of their own, to be counted with
-partial aggregation. Nothing is dropped or capped.
+Stretches of anchors with more than ``hot`` occurrences are first counted by their
+content (128 bits), with partial aggregation, so that copies come down to one
+stretch each. If more than ``crowd`` different stretches of an anchor are left,
+they are not dealt out as one group either: their windows go one by one under a
+128-bit hash of their own. Nothing is dropped or capped.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -21,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quiverline.llm.common import chunks, raw_texts
+from quiverline.llm.common import chunks, persist, raw_texts
 
 #: Symbols that are hashed at once; longer documents are cut into overlapping pieces.
 PIECE = 1 << 19
@@ -67,13 +70,14 @@ def sliding(values: np.ndarray, width: int, of: np.ufunc = np.minimum) -> np.nda
 
 @dataclass(frozen=True)
 class Windows:
-    """What a window is. ``symbols`` turns a text into its symbols, ``payload`` symbols into bytes of a stretch."""
+    """What a window is. ``symbols`` turns texts into their symbols, ``payload`` symbols into bytes of a stretch."""
 
     length: int
     gram: int
-    symbols: Callable[[bytes], np.ndarray]
+    symbols: Callable[[list[bytes]], list[np.ndarray]]
     payload: str  # dtype of a symbol in a stretch
     hot: int = 4096
+    crowd: int = 10_000
 
     @property
     def width(self) -> int:
@@ -82,11 +86,9 @@ class Windows:
     def pieces(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Of texts together: symbols, anchor of each window, and of each window the text's number (-1: no window) and its place there."""
         parts: list[tuple[int, int, np.ndarray]] = []
-        for i, text in enumerate(texts):
-            if text:
-                s = self.symbols(text)
-                for at in range(0, len(s) - self.length + 1, PIECE):
-                    parts.append((i, at, s[at : at + PIECE + self.length - 1]))
+        for i, s in enumerate(self.symbols(texts)):
+            for at in range(0, len(s) - self.length + 1, PIECE):
+                parts.append((i, at, s[at : at + PIECE + self.length - 1]))
         for a, b in chunks([len(p[2]) for p in parts], PIECE):
             some = parts[a:b]
             symbols = np.concatenate([p[2] for p in some])
@@ -163,21 +165,17 @@ def _distinct(own: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return own[new], anchor[new]
 
 
-STRETCH = "hot boolean, key long, key2 long, id long, at long, n int, data binary"
+STRETCH = "hot boolean, key long, s1 long, s2 long, id long, at long, n int, data binary"
 
 
 def stretches(docs: DataFrame, shared: DataFrame, w: Windows) -> DataFrame:
-    """Rows of :data:`STRETCH`: the stretches of windows whose anchor is in ``shared``.
-
-    Of a hot anchor each window is a row with a hash of its own and no data.
-    """
+    """Rows of :data:`STRETCH`: the stretches of windows whose anchor is in ``shared``, of hot ones also what stands for their content."""
     wanted = anchors_of(docs, w).join(shared.select("anchor", (F.col("n") > w.hot).alias("hot")), "anchor")
     of = wanted.groupBy("id").agg(F.collect_list(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
     rows = docs.select("id", "text").join(of, "id")
     most = 4 * w.width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("hot", pa.bool_()), ("key", pa.int64()), ("key2", pa.int64()), ("id", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("data", pa.binary())])
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), raw_texts(batch.column(1))
             cold, hot = (_flat(batch.column(i)) for i in (2, 3))
@@ -191,25 +189,52 @@ def stretches(docs: DataFrame, shared: DataFrame, w: Windows) -> DataFrame:
                 ok = own[turn] >= 0
                 turn, size = turn[ok], size[ok]
                 key = (own[turn], anchor[turn])
+                is_hot = _in(key, hot)
+                here = is_hot | _in(key, cold)
+                s, n, is_hot = turn[here], size[here], is_hot[here]
+                if not len(s):
+                    continue
                 data = symbols.astype(w.payload)
-                held = memoryview(data.tobytes())
-                unit = data.itemsize
-                here = _in(key, cold)
-                s, n = turn[here], size[here]
-                if len(s):
-                    parts = [bytes(held[a * unit : (a + m + w.length - 1) * unit]) for a, m in zip(s.tolist(), n.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(s), bool)), pa.array(anchor[s].view(np.int64)), pa.array(np.zeros(len(s), np.int64)), pa.array(ids[own[s]]), pa.array(place[s]), pa.array(n.astype(np.int32)), pa.array(parts, pa.binary())], schema=schema)
-                here = _in(key, hot)
-                if here.any():
-                    at = np.concatenate([np.arange(a, a + m) for a, m in zip(turn[here].tolist(), size[here].tolist(), strict=True)])
-                    one, two = (run_hashes(_wide(symbols), w.length, seed) for seed in (1, 2))
-                    for a in range(0, len(at), 20_000):
-                        x = at[a : a + 20_000]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(x), bool)), pa.array(one[x].view(np.int64)), pa.array(two[x].view(np.int64)), pa.array(ids[own[x]]), pa.array(place[x]), pa.array(np.ones(len(x), np.int32)), pa.nulls(len(x), pa.binary())], schema=schema)
+                held, unit = memoryview(data.tobytes()), data.itemsize
+                parts = [bytes(held[a * unit : (a + m + w.length - 1) * unit]) for a, m in zip(s.tolist(), n.tolist(), strict=True)]
+                names = np.zeros((len(s), 2), np.int64)
+                for i in np.flatnonzero(is_hot).tolist():
+                    names[i] = np.frombuffer(hashlib.blake2b(parts[i], digest_size=16).digest(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(is_hot), pa.array(anchor[s].view(np.int64)), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), pa.array(ids[own[s]]), pa.array(place[s]), pa.array(n.astype(np.int32)), pa.array(parts, pa.binary())], names=["hot", "key", "s1", "s2", "id", "at", "n", "data"])
 
     return rows.mapInArrow(run, STRETCH)
 
 
+@dataclass(frozen=True)
+class Hot:
+    """``copies``: id, at, n, first (smallest id), times of each hot stretch; ``few``: one stretch of each content, to join the groups; ``windows``: key, key2, id, at of those of crowded anchors."""
+
+    copies: DataFrame
+    few: DataFrame
+    windows: DataFrame
+
+
+def cool(found: DataFrame, w: Windows) -> Hot | None:
+    """The hot stretches of ``found`` (a stored table), counted by content."""
+    hot, name = found.where("hot"), ["key", "s1", "s2"]
+    if hot.isEmpty():
+        return None
+    of = persist(hot.groupBy(*name).agg(F.min(F.struct("id", "at")).alias("one"), F.count("*").alias("times")), "anchors-contents")
+    copies = hot.select(*name, "id", "at", "n").join(of.select(*name, F.col("one.id").alias("first"), "times").where("times > 1"), name)
+    one = hot.join(of.select(*name, "one.id", "one.at"), [*name, "id", "at"], "left_semi")
+    crowded = persist(of.groupBy("key").agg(F.count("*").alias("d")).where(F.col("d") > w.crowd).select("key"), "anchors-crowded")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, at, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                symbols = _wide(np.frombuffer(data, dtype=w.payload))
+                first, second = (run_hashes(symbols, w.length, seed).view(np.int64) for seed in (1, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), pa.array(np.full(len(first), doc)), pa.array(np.arange(at, at + len(first)))], names=["key", "key2", "id", "at"])
+
+    windows = one.join(crowded, "key", "left_semi").select("id", "at", "data").mapInArrow(run, "key long, key2 long, id long, at long")
+    return Hot(copies, one.join(crowded, "key", "left_anti"), windows)
+
+
 def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.diff(lists.offsets.to_numpy())
     values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
@@ -260,7 +285,7 @@ def grouped(rows: DataFrame, work: Callable[[Iterator[list[tuple[int, int, int,
                 out.clear()
         yield batch()
 
-    dealt = rows.where(~F.col("hot")).select("key", "id", "at", "n", "data").repartition("key").sortWithinPartitions("key", "id", "at")
+    dealt = rows.select("key", "id", "at", "n", "data").repartition("key").sortWithinPartitions("key", "id", "at")
     return dealt.mapInArrow(run, "id long, a long, b long")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,7 +42,8 @@ def persist(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
     spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop finished shuffles
     back = spark.read.schema(df.schema).parquet(path)
     back._stored_at = path

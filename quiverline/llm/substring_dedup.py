@@ -33,15 +33,18 @@ from quiverline.llm.common import drop, persist
 WINDOW, GRAM = 13, 4
 
 
-def word_symbols(text: bytes) -> np.ndarray:
-    words = text.split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    return pd.util.hash_array(np.array(words, dtype=object), categorize=True) >> np.uint64(32)
+def word_symbols(texts: list[bytes]) -> list[np.ndarray]:
+    """A symbol for each word of each text, hashed together."""
+    words = [t.split() for t in texts]
+    ends = np.cumsum([len(w) for w in words])
+    if not len(ends) or not ends[-1]:
+        return [np.zeros(0, dtype=np.uint64)] * len(texts)
+    symbols = pd.util.hash_array(np.array([x for w in words for x in w], dtype=object), categorize=True) >> np.uint64(32)
+    return np.split(symbols, ends[:-1])
 
 
-def windows(length: int = WINDOW, hot: int = 4096) -> anchors.Windows:
-    return anchors.Windows(length, min(GRAM, length), word_symbols, "<u4", hot)
+def windows(length: int = WINDOW, hot: int = 4096, crowd: int = 10_000) -> anchors.Windows:
+    return anchors.Windows(length, min(GRAM, length), word_symbols, "<u4", hot, crowd)
 
 
 class SuffixAutomaton:
@@ -136,17 +139,21 @@ def _shards(least: int):
     return work
 
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot: int = 4096) -> DataFrame:
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot: int = 4096, crowd: int = 10_000) -> DataFrame:
     """Stored table ``id``, ``spans`` (array of word ranges, which may overlap) of the documents that lose words."""
-    w = windows(window, hot)
+    w = windows(window, hot, crowd)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     shared = persist(anchors.shared_anchors(rows, w).where("low < high"), "substring-anchors")
     found = persist(anchors.stretches(rows, shared, w), "substring-stretches")
-    cold = anchors.grouped(found, _shards(window))
-    single = found.where("hot").select("key", "key2", "id", "at")
-    first = single.groupBy("key", "key2").agg(F.min("id").alias("low"))
-    hot_spans = single.join(first, ["key", "key2"]).where("id > low").select("id", F.col("at").alias("a"), (F.col("at") + window).alias("b"))
-    out = persist(anchors.spans_by_document(cold.unionByName(hot_spans)), "substring-spans")
+    rows, hot_ = found.where("not hot"), anchors.cool(found, w)
+    if hot_ is None:
+        spans = anchors.grouped(rows, _shards(window))
+    else:
+        copies = hot_.copies.where("id > first").select("id", F.col("at").alias("a"), (F.col("at") + F.col("n") + window - 1).alias("b"))
+        first = hot_.windows.groupBy("key", "key2").agg(F.min("id").alias("low"))
+        single = hot_.windows.join(first, ["key", "key2"]).where("id > low").select("id", F.col("at").alias("a"), (F.col("at") + window).alias("b"))
+        spans = anchors.grouped(rows.unionByName(hot_.few), _shards(window)).unionByName(copies).unionByName(single)
+    out = persist(anchors.spans_by_document(spans), "substring-spans")
     drop(found)
     drop(shared)
     return out
