@@ -33,12 +33,12 @@ SHARD = 4 << 20
 SPARSE = 16
 
 
-def byte_symbols(text: bytes) -> np.ndarray:
-    return np.frombuffer(text, dtype=np.uint8)
+def byte_symbols(texts: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(t, dtype=np.uint8) for t in texts]
 
 
-def windows(length: int = WINDOW, hot: int = 4096) -> anchors.Windows:
-    return anchors.Windows(length, min(GRAM, max(1, length // 2)), byte_symbols, "u1", hot)
+def windows(length: int = WINDOW, hot: int = 4096, crowd: int = 20_000) -> anchors.Windows:
+    return anchors.Windows(length, min(GRAM, max(1, length // 2)), byte_symbols, "u1", hot, crowd)
 
 
 def _eight(data: np.ndarray) -> np.ndarray:
@@ -183,6 +183,10 @@ def _shards(window: int):
     def work(groups: Iterator[list]) -> Iterator[tuple[int, int, int]]:
         held, size = [], 0
         for group in groups:
+            if len(group) > 1 and all(x[3] == group[0][3] for x in group):  # copies of one stretch
+                for doc, at, _, data in group:
+                    yield doc, at, at + len(data)
+                continue
             held.append(group)
             size += sum(len(x[3]) for x in group)
             if size >= SHARD:
@@ -194,17 +198,21 @@ def _shards(window: int):
     return work
 
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot: int = 4096) -> DataFrame:
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot: int = 4096, crowd: int = 20_000) -> DataFrame:
     """Stored table ``id``, ``spans`` (array of byte ranges, which may overlap) of the documents that lose bytes."""
-    w = windows(window, hot)
+    w = windows(window, hot, crowd)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     shared = persist(anchors.shared_anchors(rows, w), "suffix-anchors")
     found = persist(anchors.stretches(rows, shared, w), "suffix-stretches")
-    cold = anchors.grouped(found, _shards(window))
-    single = found.where("hot").select("key", "key2", "id", "at")
-    often = single.groupBy("key", "key2").agg(F.count("*").alias("times")).where("times > 1").drop("times")
-    hot_spans = single.join(often, ["key", "key2"]).select("id", F.col("at").alias("a"), (F.col("at") + window).alias("b"))
-    out = persist(anchors.spans_by_document(cold.unionByName(hot_spans)), "suffix-spans")
+    rows, hot_ = found.where("not hot"), anchors.cool(found, w)
+    if hot_ is None:
+        spans = anchors.grouped(rows, _shards(window))
+    else:
+        copies = hot_.copies.select("id", F.col("at").alias("a"), (F.col("at") + F.col("n") + window - 1).alias("b"))
+        often = hot_.windows.groupBy("key", "key2").agg(F.count("*").alias("times")).where("times > 1").drop("times")
+        single = hot_.windows.join(often, ["key", "key2"]).select("id", F.col("at").alias("a"), (F.col("at") + window).alias("b"))
+        spans = anchors.grouped(rows.unionByName(hot_.few), _shards(window)).unionByName(copies).unionByName(single)
+    out = persist(anchors.spans_by_document(spans), "suffix-spans")
     drop(found)
     drop(shared)
     return out
