@@ -45,13 +45,21 @@ BROADCAST_ROWS = 200_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def shingle_set(text: bytes, size: int = SHINGLE) -> np.ndarray:
-    """Sorted hashes (uint64) of the distinct runs of ``size`` words."""
-    words = text.translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    symbols = pd.util.hash_array(np.array(words, dtype=object), categorize=True)
-    return np.unique(run_hashes(symbols, min(size, len(words))))
+def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
+    """Of each text the sorted hashes (uint64) of the distinct runs of ``size`` words."""
+    words = [t.translate(_LOWER).split() for t in texts]
+    sizes = [len(w) for w in words]
+    if not sum(sizes):
+        return [np.zeros(0, dtype=np.uint64)] * len(texts)
+    symbols = pd.util.hash_array(np.array([x for w in words for x in w], dtype=object), categorize=True)
+    runs = run_hashes(symbols, size) if len(symbols) >= size else symbols
+    out, at = [], 0
+    for n in sizes:
+        own = runs[at : at + n - size + 1] if n >= size else run_hashes(symbols[at : at + n], n) if n else symbols[:0]
+        own = np.sort(own)
+        out.append(own[np.r_[True, own[1:] != own[:-1]]] if len(own) else own)
+        at += n
+    return out
 
 
 def needed(n: int, percent: int = PERCENT) -> int:
@@ -69,13 +77,12 @@ def heads(docs: DataFrame, size: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, s1, s2, head = [], [], [], []
-            for text in raw_texts(batch.column(1)):
-                tokens = shingle_set(text, size)
+            for tokens in shingle_sets(raw_texts(batch.column(1)), size):
                 p = prefix_size(len(tokens), percent)
                 n.append(len(tokens))
                 s1.append(int(run_hashes(tokens, len(tokens), 3)[0].view(np.int64)) if len(tokens) else 0)
                 s2.append(int(run_hashes(tokens, len(tokens), 4)[0].view(np.int64)) if len(tokens) else 0)
-                head.append(tokens[: p + max(16, p // 2)].view(np.int64))
+                head.append(tokens[: p + max(8, p // 4)].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(head, pa.list_(pa.int64()))], names=["id", "n", "s1", "s2", "head"])
 
     return docs.select("id", "text").mapInArrow(run, "id long, n int, s1 long, s2 long, head array<long>")
@@ -86,7 +93,7 @@ def whole_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(x, size).view(np.int64) for x in raw_texts(batch.column(1))]
+            sets = [x.view(np.int64) for x in shingle_sets(raw_texts(batch.column(1)), size)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "tokens"])
 
     some = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
@@ -198,8 +205,9 @@ def _pivot_pairs(often: DataFrame, percent: int, pivots: int) -> DataFrame:
 def links(docs: DataFrame, sets: DataFrame, size: int = SHINGLE, percent: int = PERCENT, rare: int = RARE, pivots: int = PIVOTS) -> DataFrame:
     """Links ``a < b`` between sets (by the documents that stand for them) that make up all components."""
     index = prefixes(docs, sets, size, percent, rare)
-    counts = index.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    counts = persist(index.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "jaccard-counts")
     index = persist(index.join(counts, "token"), "jaccard-index")
+    drop(counts)
     one = index.where(F.col("df") <= rare)
     pairs = one.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa")).join(one.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")), "token").where("a < b").where(_sizes_fit("na", "nb", percent))
     # Position bound: what is common lies in the tokens seen in common or after the last of them.
@@ -208,6 +216,7 @@ def links(docs: DataFrame, sets: DataFrame, size: int = SHINGLE, percent: int =
     single = persist(met.where(fits).select("a", "b"), "jaccard-candidates")
     found = verified(docs, single, size, percent)
     drop(single)
+    drop(sets)
     often = persist(index.where(F.col("df") > rare).select("token", "id", "n"), "jaccard-often")
     if often.isEmpty():
         return found
@@ -235,10 +244,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     own = persist(heads(rows, size, percent), "jaccard-heads")
     known = own.where("id is not null and n > 0")
-    class_ = known.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
-    reps = persist(class_, "jaccard-classes")
+    reps = persist(known.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")), "jaccard-classes")
     sets = known.join(reps.select(F.col("rep").alias("id"), "s1", "s2", "n"), ["id", "s1", "s2", "n"], "left_semi").dropDuplicates(["id"]).select("id", "n", "head")
-    found = links(rows.where("id is not null"), persist(sets, "jaccard-sets"), size, percent, rare)
-    label = components(found)
+    sets = persist(sets, "jaccard-heads")
+    slim = persist(own.drop("head"), "jaccard-sizes")
+    drop(own)
+    label = components(links(rows.where("id is not null"), sets, size, percent, rare))
     named = reps.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
-    return own.join(named, ["s1", "s2", "n"], "left").select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component")), "id").alias("component_id"))
+    return slim.join(named, ["s1", "s2", "n"], "left").select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component")), "id").alias("component_id"))
