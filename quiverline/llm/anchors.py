@@ -207,7 +207,7 @@ def stretches(docs: DataFrame, shared: DataFrame, w: Windows) -> DataFrame:
 
 @dataclass(frozen=True)
 class Hot:
-    """``copies``: id, at, n, first (smallest id), times of each hot stretch; ``few``: one stretch of each content, to join the groups; ``windows``: key, key2, id, at of those of crowded anchors."""
+    """``copies``: id, at, n, first (smallest id), times of each hot stretch; ``few``: the stretches of each content in its first document, to join the groups; ``windows``: key, key2, id, at of those of crowded anchors."""
 
     copies: DataFrame
     few: DataFrame
@@ -219,9 +219,9 @@ def cool(found: DataFrame, w: Windows) -> Hot | None:
     hot, name = found.where("hot"), ["key", "s1", "s2"]
     if hot.isEmpty():
         return None
-    of = persist(hot.groupBy(*name).agg(F.min(F.struct("id", "at")).alias("one"), F.count("*").alias("times")), "anchors-contents")
-    copies = hot.select(*name, "id", "at", "n").join(of.select(*name, F.col("one.id").alias("first"), "times").where("times > 1"), name)
-    one = hot.join(of.select(*name, "one.id", "one.at"), [*name, "id", "at"], "left_semi")
+    of = persist(hot.groupBy(*name).agg(F.min("id").alias("first"), F.count("*").alias("times")), "anchors-contents")
+    copies = hot.select(*name, "id", "at", "n").join(of.where("times > 1"), name)
+    one = hot.join(of.select(*name, F.col("first").alias("id")), [*name, "id"], "left_semi")
     crowded = persist(of.groupBy("key").agg(F.count("*").alias("d")).where(F.col("d") > w.crowd).select("key"), "anchors-crowded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,8 @@ of the text) is the main text.
 
 Edge cases: null, empty and textless pages give an empty text; pages without an
 address share one wrapper; a host with fewer than ``LEAST_PAGES`` pages, or whose
-pages are all alike, has no fixed text; unclosed, stray and deeply nested tags are
+pages are all alike, has no fixed text; a block with some text of its own stays
+whole; unclosed, stray and deeply nested tags are
 read as browsers would, roughly; pages of any length are read whole.
 """
 
@@ -49,7 +50,6 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 DROP = frozenset("head nav aside footer form button dialog menu".split())
 #: Names of classes, ids and roles that mark what isn't the article.
 MARKS = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer contentinfo sidebar side aside complementary ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies notice notices consent gdpr popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments disqus respond reply replies discussion form search login toolbar pagination pager widget skip skiplink alert dialog hidden".split())
-MAIN = frozenset("article articlebody content post entry story main maincontent body text".split())
 
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*+(?:(?<=/)>|>.*?(?:</\1\s*+>|\Z))|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>", re.S | re.I)
 _ATTR = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -250,20 +250,24 @@ class Extractor:
         root = parse(page)
         blocks: list[tuple[str, frozenset]] = []  # text, and the elements that hold it
         held: list[str] = []
+        own_text = False  # whether the block has text that isn't the site's
 
         def flush(owners: tuple) -> None:
-            if text := clean("".join(held)):
+            nonlocal own_text
+            if own_text and (text := clean("".join(held))):
                 blocks.append((text, frozenset(owners)))
             held.clear()
+            own_text = False
 
         articles: list[int] = []
         mains: list[int] = []
 
-        def walk(node: Node, owners: tuple, path: str, within: bool, linked: bool) -> None:
+        def walk(node: Node, owners: tuple, path: str, within: bool) -> None:
+            nonlocal own_text
             for kid in node.kids:
                 if isinstance(kid, str):
-                    if not self.fixed or (path, clean(kid)) not in self.fixed:
-                        held.append(kid)
+                    held.append(kid)
+                    own_text = own_text or not kid.isspace() and (not self.fixed or (path, clean(kid)) not in self.fixed)
                     continue
                 name, marks = kid.name, set(kid.marks)
                 if name in ("br", "hr", "wbr"):
@@ -282,22 +286,20 @@ class Extractor:
                     articles.append(id(kid))
                 elif name == "main" or "main" in marks and name == "div":
                     mains.append(id(kid))
-                walk(kid, inner, f"{path}/{'.'.join((name, *kid.marks))}", within or own, linked or name == "a")
+                walk(kid, inner, f"{path}/{'.'.join((name, *kid.marks))}", within or own)
                 if block:
                     flush(inner)
 
-        walk(root, (), "", False, False)
+        walk(root, (), "", False)
         flush(())
         for some in (articles, mains):
             if some and (chosen := [t for t, o in blocks if o & set(some)]):
                 return "\n".join(chosen)
         total = sum(len(t) for t, _ in blocks)
         share: dict[int, int] = {}
-        depth: dict[int, int] = {}
         for text, owners in blocks:
             for o in owners:
                 share[o] = share.get(o, 0) + len(text)
-                depth[o] = max(depth.get(o, 0), 1)
         # The innermost element with two thirds of the text; owners of fewer blocks lie further in.
         count: dict[int, int] = {}
         for _, owners in blocks:
