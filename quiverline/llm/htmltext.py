@@ -232,7 +232,7 @@ def _fixed(kids: list, into: set[tuple[str, str]], path: str) -> None:
     for kid in kids:
         if isinstance(kid, str):
             into.add((path, kid))
-        elif isinstance(kid, list):
+        elif isinstance(kid, list) and not kid[2]:  # what some pages lack isn't shared by all
             _fixed(kid[4], into, f"{path}/{'.'.join(_key(kid))}")
 
 
