@@ -11,10 +11,11 @@ more than the usual prefix). Tokens found in at most ``rare`` prefixes are index
 singly. For the frequent class the prefixes are extended until they hold enough
 other tokens; sets that consist mostly of frequent tokens are first compared with
 a few pivots of each token, which joins large groups of near copies with one
-comparison for each, and what is then still in different components is indexed by
-*pairs* of frequent tokens. Candidates pass size and position bounds and are
-verified on their whole sets. Only pairs within one component are ever skipped,
-so components are exact.
+comparison for each. What is then still in different components meets in families
+of sets with common frequent tokens (in large families: common *pairs* of them),
+block against block. Candidates pass size and position bounds and are verified on
+their whole sets. Only pairs within one component are ever skipped, so components
+are exact.
 
 Edge cases: null, empty and wordless texts have empty sets, linked with nothing;
 texts of fewer words than a shingle have one token, the whole sequence; rows with
@@ -39,6 +40,10 @@ SHINGLE, PERCENT = 5, 80
 RARE = 24
 #: Pivots of a frequent token that every set with it is compared with.
 PIVOTS = 3
+#: Sets of a family from which it is formed by pairs of frequent tokens instead of single ones.
+FAMILY = 20_000
+#: Sets of a block, of which two meet in a task.
+BLOCK = 512
 #: Ids of sets up to which they are broadcast (under 10 MB) to fetch their texts.
 BROADCAST_ROWS = 200_000
 
@@ -189,20 +194,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def _pivot_pairs(often: DataFrame, percent: int, pivots: int) -> DataFrame:
-    """Pairs of each set with a few sets of the same frequent token, the same ones for all."""
+def _pivot_pairs(rest: DataFrame, percent: int, pivots: int) -> DataFrame:
+    """Pairs of each set with a few sets of the same frequent token in other components, the same pivots for all: the smallest id, and the first ones by hashes."""
     chosen = []
-    for seed in range(pivots):
-        rank = F.struct(F.xxhash64("id", F.lit(seed)).alias("h"), "id", "n") if seed else F.struct(F.lit(0).cast("long").alias("h"), "id", "n")
-        pivot = often.groupBy("token").agg(F.min(rank).alias("p")).select("token", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"))
-        chosen.append(often.join(pivot, "token").where(F.col("id") != F.col("pid")).where(_sizes_fit("n", "pn", percent)).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")))
+    for i in range(pivots):
+        drawn = F.xxhash64("id", F.lit(i)) if i else F.lit(0).cast("long")
+        pivot = rest.groupBy("token").agg(F.min(F.struct(drawn.alias("h"), "id", "n", "component")).alias("p")).select("token", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.component").alias("pc"))
+        chosen.append(rest.join(pivot, "token").where("component != pc").where(_sizes_fit("n", "pn", percent)).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")))
     out = chosen[0]
     for x in chosen[1:]:
         out = out.unionByName(x)
     return out.distinct()
 
 
-def links(docs: DataFrame, sets: DataFrame, size: int = SHINGLE, percent: int = PERCENT, rare: int = RARE, pivots: int = PIVOTS) -> DataFrame:
+def links(docs: DataFrame, sets: DataFrame, size: int = SHINGLE, percent: int = PERCENT, rare: int = RARE, pivots: int = PIVOTS, largest: int = FAMILY) -> DataFrame:
     """Links ``a < b`` between sets (by the documents that stand for them) that make up all components."""
     index = prefixes(docs, sets, size, percent, rare)
     counts = persist(index.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "jaccard-counts")
@@ -220,26 +225,102 @@ def links(docs: DataFrame, sets: DataFrame, size: int = SHINGLE, percent: int =
     often = persist(index.where(F.col("df") > rare).select("token", "id", "n"), "jaccard-often")
     if often.isEmpty():
         return found
-    star = persist(_pivot_pairs(often, percent, pivots).join(found, ["a", "b"], "left_anti"), "jaccard-pivots")
-    found = persist(found.unionByName(verified(docs, star, size, percent)).distinct(), "jaccard-found")
     label = components(found)
-    rest = often.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = rest.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
-    rest = persist(rest.join(open_, "token", "left_semi"), "jaccard-open")
+    rest = _apart(often, label)
     if rest.isEmpty():
         return found
-    # Pairs of frequent tokens, as one key each, of the sets that are still apart.
-    lists = rest.groupBy("id", "n", "component").agg(F.array_sort(F.collect_list("token")).alias("t"))
-    combos = lists.where(F.size("t") > 1).select("id", "n", "component", F.posexplode("t").alias("i", "one"), "t").select("id", "n", "component", F.explode(F.transform(F.slice("t", F.col("i") + 2, F.size("t")), lambda two: F.xxhash64("one", two))).alias("key"))
-    busy = combos.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    combos = persist(combos.join(busy, "key", "left_semi"), "jaccard-combos")
-    other = combos.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    apart = combos.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")).join(other, "key").where("ca != cb and a < b").where(_sizes_fit("na", "nb", percent)).select("a", "b").distinct()
-    more = persist(apart.join(found, ["a", "b"], "left_anti").join(star, ["a", "b"], "left_anti"), "jaccard-apart")
-    return persist(found.unionByName(verified(docs, more, size, percent)), "jaccard-all")
-
-
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, rare: int = RARE) -> DataFrame:
+    star = persist(_pivot_pairs(rest, percent, pivots), "jaccard-pivots")
+    found = persist(found.unionByName(verified(docs, star, size, percent)).distinct(), "jaccard-found")
+    rest = _apart(often, components(found))
+    if rest.isEmpty():
+        return found
+    # Sets that are still apart meet in families of sets with common frequent tokens, large families by pairs of tokens.
+    family = _families(rest.select("id", F.col("token").alias("key")))
+    large = persist(family.groupBy("family").agg(F.count("*").alias("m")).where(F.col("m") > largest).select("family"), "jaccard-large")
+    if not large.isEmpty():
+        big = rest.join(family.join(large, "family", "left_semi").select("id"), "id", "left_semi")
+        lists = big.groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("t"))
+        pairs_of = lists.where(F.size("t") > 1).select("id", F.posexplode("t").alias("i", "one"), "t")
+        combos = pairs_of.select("id", F.explode(F.transform(F.slice("t", F.col("i") + 2, F.size("t")), lambda two: F.xxhash64("one", two))).alias("key"))
+        family = family.join(large, "family", "left_anti").unionByName(_families(combos))
+    family = family.join(rest.select("id", "component").distinct(), "id")
+    return persist(found.unionByName(_within(docs, persist(family, "jaccard-families"), size, percent)), "jaccard-all")
+
+
+def _apart(often: DataFrame, label: DataFrame) -> DataFrame:
+    """Stored rows of the frequent tokens whose sets lie in several components, with the component of each."""
+    rest = often.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    apart = rest.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
+    return persist(rest.join(apart, "token", "left_semi"), "jaccard-open")
+
+
+def _families(keys: DataFrame) -> DataFrame:
+    """``id``, ``family`` of the sets that a chain of common keys connects."""
+    keys = persist(keys, "jaccard-keys")
+    first = keys.groupBy("key").agg(F.min("id").alias("b"))
+    return persist(components(keys.join(first, "key").where("id != b").select(F.col("id").alias("a"), "b")).toDF("id", "family"), "jaccard-family")
+
+
+def _within(docs: DataFrame, family: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between sets of one family in different components: blocks of ``BLOCK`` sets against each other, each pair of blocks a group of its own."""
+    sets = persist(whole_sets(docs, family.select("id"), size).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens")), "jaccard-sets")
+    blocks = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    rows = family.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).join(sets, "id")
+    rows = rows.select("family", "id", "component", "tokens", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    rows = rows.select(F.xxhash64("family", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "own", (F.col("own") == F.col("other")).alias("same"), "id", "component", "tokens")
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, bool]]:
+        held, last, one = [], None, False
+        for batch in batches:
+            tokens = batch.column(5)
+            for i, (key, own, same, doc, comp) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(5)), strict=True)):
+                if key != last:
+                    if held:
+                        yield held, one
+                    held, last, one = [], key, same
+                held.append((own, doc, comp, tokens[i].values.to_numpy()))
+        if held:
+            yield held, one
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, one in groups(batches):
+            first = held[0][0]
+            left = [x for x in held if x[0] == first]
+            right = left if one else [x for x in held if x[0] != first]
+            if not right:
+                continue
+            a, b = _linked(left, right, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+
+    return rows.repartition("key").sortWithinPartitions("key", "own", "id").mapInArrow(run, "a long, b long").distinct()
+
+
+def _linked(left: list, right: list, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of two lists of (block, id, component, tokens), by products of token matrices."""
+    common = np.zeros((len(left), len(right)), dtype=np.float32)
+    places = []
+    for side in (left, right):
+        places.append((np.concatenate([x[3] for x in side]), np.repeat(np.arange(len(side)), [len(x[3]) for x in side])))
+    shared = np.intersect1d(np.unique(places[0][0]), np.unique(places[1][0]), assume_unique=True)
+    at = [np.searchsorted(shared, tokens) for tokens, _ in places]
+    real = [(i < len(shared)) & (shared[np.minimum(i, len(shared) - 1)] == tokens) if len(shared) else np.zeros(len(tokens), bool) for i, (tokens, _) in zip(at, places, strict=True)]
+    for low in range(0, len(shared), 8192):
+        parts = []
+        for i, ok, (_, owner), side in zip(at, real, places, (left, right), strict=True):
+            here = ok & (i >= low) & (i < low + 8192)
+            m = np.zeros((len(side), min(8192, len(shared) - low)), dtype=np.float32)
+            m[owner[here], i[here] - low] = 1
+            parts.append(m)
+        common += parts[0] @ parts[1].T
+    n = [np.array([len(x[3]) for x in side]) for side in (left, right)]
+    comp = [np.array([x[2] for x in side]) for side in (left, right)]
+    hit = (100 * common.astype(np.int64) >= percent * (n[0][:, None] + n[1][None, :] - common.astype(np.int64))) & (comp[0][:, None] != comp[1][None, :])
+    x, y = np.nonzero(hit)
+    ids = [np.array([x[1] for x in side], dtype=np.int64) for side in (left, right)]
+    return ids[0][x], ids[1][y]
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, rare: int = RARE, largest: int = FAMILY) -> DataFrame:
     """``id``, ``n_shingles``, ``component_id``, a row for each input row."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     own = persist(heads(rows, size, percent), "jaccard-heads")
@@ -249,6 +330,6 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     sets = persist(sets, "jaccard-heads")
     slim = persist(own.drop("head"), "jaccard-sizes")
     drop(own)
-    label = components(links(rows.where("id is not null"), sets, size, percent, rare))
+    label = components(links(rows.where("id is not null"), sets, size, percent, rare, largest=largest))
     named = reps.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
-    return slim.join(named, ["s1", "s2", "n"], "left").select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component")), "id").alias("component_id"))
+    return slim.join(named, ["s1", "s2", "n"], "left").select("id", F.col("n").cast("long").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"))
