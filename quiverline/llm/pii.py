@@ -139,7 +139,7 @@ def analyse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         if wanted.count() <= BROADCAST_ROWS:
             wanted = F.broadcast(wanted)
         words = F.array_distinct(F.transform(F.split(F.col("text"), r"[\s\p{Punct}]+", -1), F.lower))
-        n_t = texts.where("id is not null").select("id", F.explode(words).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+        n_t = texts.where("id is not null").select("id", F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term")  # an inner join: a semi join would move below the aggregate
         scored = pairs.join(n_c, "entity").join(n_t, "term")
         pmi = F.log(F.col("n_ct") * float(n) / (F.col("n_c") * F.greatest("n_t", "n_ct")))
         share = F.when(F.col("n_c") < n, pmi / F.log(n / F.col("n_c"))).otherwise(F.lit(0.0))
