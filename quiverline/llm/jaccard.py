@@ -13,8 +13,8 @@ other tokens; sets that consist mostly of frequent tokens are first compared wit
 a few pivots of each token, which joins large groups of near copies with one
 comparison for each. What is then still in different components meets in families
 of sets with common frequent tokens (in large families: common *pairs* of them),
-block against block. Candidates pass size and position bounds and are verified on
-their whole sets. Only pairs within one component are ever skipped, so components
+block against block. Candidates pass size and position bounds and the bound that their heads set,
+and are verified on their whole sets. Only pairs within one component are ever skipped, so components
 are exact.
 
 Edge cases: null, empty and wordless texts have empty sets, linked with nothing;
@@ -105,8 +105,8 @@ def whole_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return docs.select("id", "text").join(some, "id", "left_semi").mapInArrow(run, "id long, tokens array<long>")
 
 
-def prefixes(docs: DataFrame, sets: DataFrame, size: int, percent: int, rare: int) -> DataFrame:
-    """``token``, ``id``, ``n``, ``pos`` of the final prefixes. ``sets``: ``id``, ``n``, ``head`` of one document for each set."""
+def prefixes(docs: DataFrame, sets: DataFrame, size: int, percent: int, rare: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``token``, ``id``, ``n``, ``pos`` of the final prefixes, and the stored tables they are read from. ``sets``: ``id``, ``n``, ``head`` of one document for each set."""
     p = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 2
     p = F.least(p, F.col("n"))
     first = sets.select("id", F.explode(F.slice("head", F.lit(1), p)).alias("token"))
@@ -115,7 +115,7 @@ def prefixes(docs: DataFrame, sets: DataFrame, size: int, percent: int, rare: in
     some = persist(first.join(frequent, "token", "left_semi").select("id").distinct(), "jaccard-affected")
     plain = sets.join(some, "id", "left_anti").select("id", "n", F.posexplode(F.slice("head", F.lit(1), p)).alias("pos", "token"))
     if some.isEmpty():
-        return plain.select("token", "id", "n", "pos")
+        return plain.select("token", "id", "n", "pos"), [frequent, some]
     marked = _with_class(sets.join(some, "id", "left_semi").select("id", "n", "head"), "head", frequent)
     marked = persist(marked.withColumn("p", p), "jaccard-extended")
     enough = F.size("plain") >= F.col("p")
@@ -124,7 +124,7 @@ def prefixes(docs: DataFrame, sets: DataFrame, size: int, percent: int, rare: in
     full = whole_sets(docs, dense.select("id"), size).groupBy("id").agg(F.flatten(F.collect_list("tokens")).alias("tokens")).join(dense, "id")
     full = _with_class(full.select("id", "n", F.array_distinct("tokens").alias("tokens")), "tokens", frequent).withColumn("p", p)
     last = full.select("id", "n", F.posexplode(F.slice(F.concat("plain", "often"), F.lit(1), F.col("p"))).alias("pos", "token"))
-    return plain.unionByName(extended).unionByName(last).select("token", "id", "n", "pos")
+    return plain.unionByName(extended).unionByName(last).select("token", "id", "n", "pos"), [frequent, some, marked, dense]
 
 
 def _with_class(sets: DataFrame, tokens: str, frequent: DataFrame) -> DataFrame:
@@ -144,6 +144,32 @@ def _least_overlap(percent: int):
     return F.ceil(percent * (F.col("na") + F.col("nb")) / (100.0 + percent) - 1e-9)
 
 
+def within_bound(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a``, ``b`` (of ``na`` and ``nb`` tokens) that can be linked as far as their heads tell.
+
+    Heads hold the least hashes of a set, so up to the smaller of two last hashes
+    the common tokens are known exactly; beyond it, at most all that is left of the
+    smaller rest is common.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (na, nb), keep = (batch.column(i).to_numpy() for i in (2, 3)), []
+            left, right = batch.column(4), batch.column(5)
+            for i in range(batch.num_rows):
+                x, y = (side[i].values.to_numpy().view(np.uint64) for side in (left, right))
+                ends = [h[-1] for h, n in ((x, na[i]), (y, nb[i])) if len(h) < n]
+                if ends:
+                    x, y = (h[: np.searchsorted(h, min(ends), "right")] for h in (x, y))
+                most = len(np.intersect1d(x, y, assume_unique=True)) + min(na[i] - len(x), nb[i] - len(y))
+                keep.append(100 * most >= percent * (na[i] + nb[i] - most))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
+
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("head").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("head").alias("y")), "b")
+    return both.select("a", "b", F.col("na").cast("long"), F.col("nb").cast("long"), "x", "y").mapInArrow(run, "a long, b long")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs ``a``, ``b`` whose whole sets are linked. ``pairs`` is a stored table."""
     ids = persist(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "jaccard-ids")
@@ -209,19 +235,22 @@ def _pivot_pairs(rest: DataFrame, percent: int, pivots: int) -> DataFrame:
 
 def links(docs: DataFrame, sets: DataFrame, size: int = SHINGLE, percent: int = PERCENT, rare: int = RARE, pivots: int = PIVOTS, largest: int = FAMILY) -> DataFrame:
     """Links ``a < b`` between sets (by the documents that stand for them) that make up all components."""
-    index = prefixes(docs, sets, size, percent, rare)
+    index, sources = prefixes(docs, sets, size, percent, rare)
     counts = persist(index.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "jaccard-counts")
     index = persist(index.join(counts, "token"), "jaccard-index")
-    drop(counts)
+    for stored in [counts, *sources]:
+        drop(stored)
     one = index.where(F.col("df") <= rare)
     pairs = one.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa")).join(one.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")), "token").where("a < b").where(_sizes_fit("na", "nb", percent))
     # Position bound: what is common lies in the tokens seen in common or after the last of them.
     met = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     fits = F.col("c") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) >= _least_overlap(percent)
-    single = persist(met.where(fits).select("a", "b"), "jaccard-candidates")
+    met = persist(met.where(fits).select("a", "b", "na", "nb"), "jaccard-met")
+    single = persist(within_bound(met, sets, percent), "jaccard-candidates")
+    drop(met)
+    drop(sets)
     found = verified(docs, single, size, percent)
     drop(single)
-    drop(sets)
     often = persist(index.where(F.col("df") > rare).select("token", "id", "n"), "jaccard-often")
     if often.isEmpty():
         return found
@@ -327,8 +356,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     known = own.where("id is not null and n > 0")
     reps = persist(known.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")), "jaccard-classes")
     sets = known.join(reps.select(F.col("rep").alias("id"), "s1", "s2", "n"), ["id", "s1", "s2", "n"], "left_semi").dropDuplicates(["id"]).select("id", "n", "head")
-    sets = persist(sets, "jaccard-heads")
     slim = persist(own.drop("head"), "jaccard-sizes")
+    sets = persist(sets, "jaccard-heads")
     drop(own)
     label = components(links(rows.where("id is not null"), sets, size, percent, rare, largest=largest))
     named = reps.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
