@@ -105,18 +105,22 @@ def whole_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return docs.select("id", "text").join(some, "id", "left_semi").mapInArrow(run, "id long, tokens array<long>")
 
 
-def prefixes(docs: DataFrame, sets: DataFrame, size: int, percent: int, rare: int) -> tuple[DataFrame, list[DataFrame]]:
-    """``token``, ``id``, ``n``, ``pos`` of the final prefixes, and the stored tables they are read from. ``sets``: ``id``, ``n``, ``head`` of one document for each set."""
+def prefixes(docs: DataFrame, sets: DataFrame, size: int, percent: int, rare: int) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """``token``, ``id``, ``n``, ``pos`` of the final prefixes, the stored tables they are read from, and what now stores ``sets``: ``id``, ``n``, ``head`` of one document for each set."""
     p = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 2
     p = F.least(p, F.col("n"))
     first = sets.select("id", F.explode(F.slice("head", F.lit(1), p)).alias("token"))
     frequent = persist(first.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > rare).select("token"), "jaccard-frequent")
     # Sets with frequent tokens in their prefixes get others instead, by extending it.
     some = persist(first.join(frequent, "token", "left_semi").select("id").distinct(), "jaccard-affected")
-    plain = sets.join(some, "id", "left_anti").select("id", "n", F.posexplode(F.slice("head", F.lit(1), p)).alias("pos", "token"))
+    usual = F.posexplode(F.slice("head", F.lit(1), p)).alias("pos", "token")
     if some.isEmpty():
-        return plain.select("token", "id", "n", "pos"), [frequent, some]
-    marked = _with_class(sets.join(some, "id", "left_semi").select("id", "n", "head"), "head", frequent)
+        return sets.select("id", "n", usual).select("token", "id", "n", "pos"), [frequent, some], sets
+    # The heads are dealt out once, for all that reads either kind of them later.
+    flagged = persist(sets.join(some.withColumn("extend", F.lit(True)), "id", "left").withColumn("extend", F.col("extend").isNotNull()), "jaccard-heads")
+    drop(sets)
+    plain = flagged.where("not extend").select("id", "n", usual)
+    marked = _with_class(flagged.where("extend").select("id", "n", "head"), "head", frequent)
     marked = persist(marked.withColumn("p", p), "jaccard-extended")
     enough = F.size("plain") >= F.col("p")
     extended = marked.where(enough).select("id", "n", F.posexplode(F.slice("plain", F.lit(1), F.col("p"))).alias("pos", "token"))
@@ -124,7 +128,7 @@ def prefixes(docs: DataFrame, sets: DataFrame, size: int, percent: int, rare: in
     full = whole_sets(docs, dense.select("id"), size).groupBy("id").agg(F.flatten(F.collect_list("tokens")).alias("tokens")).join(dense, "id")
     full = _with_class(full.select("id", "n", F.array_distinct("tokens").alias("tokens")), "tokens", frequent).withColumn("p", p)
     last = full.select("id", "n", F.posexplode(F.slice(F.concat("plain", "often"), F.lit(1), F.col("p"))).alias("pos", "token"))
-    return plain.unionByName(extended).unionByName(last).select("token", "id", "n", "pos"), [frequent, some, marked, dense]
+    return plain.unionByName(extended).unionByName(last).select("token", "id", "n", "pos"), [frequent, some, marked, dense], flagged
 
 
 def _with_class(sets: DataFrame, tokens: str, frequent: DataFrame) -> DataFrame:
@@ -235,7 +239,7 @@ def _pivot_pairs(rest: DataFrame, percent: int, pivots: int) -> DataFrame:
 
 def links(docs: DataFrame, sets: DataFrame, size: int = SHINGLE, percent: int = PERCENT, rare: int = RARE, pivots: int = PIVOTS, largest: int = FAMILY) -> DataFrame:
     """Links ``a < b`` between sets (by the documents that stand for them) that make up all components."""
-    index, sources = prefixes(docs, sets, size, percent, rare)
+    index, sources, sets = prefixes(docs, sets, size, percent, rare)
     counts = persist(index.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "jaccard-counts")
     index = persist(index.join(counts, "token"), "jaccard-index")
     for stored in [counts, *sources]:
