@@ -13,7 +13,7 @@ other tokens; sets that consist mostly of frequent tokens are first compared wit
 a few pivots of each token, which joins large groups of near copies with one
 comparison for each. What is then still in different components meets in families
 of sets with common frequent tokens (in large families: common *pairs* of them),
-block against block. Candidates pass size and position bounds and the bound that their heads set,
+packed block against packed block of like sizes. Candidates pass size and position bounds and the bound that their heads set,
 and are verified on their whole sets. Only pairs within one component are ever skipped, so components
 are exact.
 
@@ -25,6 +25,7 @@ document, with the tokens of each.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +43,8 @@ RARE = 24
 PIVOTS = 3
 #: Sets of a family from which it is formed by pairs of frequent tokens instead of single ones.
 FAMILY = 20_000
-#: Sets of a block, of which two meet in a task.
-BLOCK = 512
+#: Sets of a block, of which two meet in a group, and their tokens (both as a mean).
+BLOCK, BLOCK_TOKENS = 512, 1 << 20
 #: Ids of sets up to which they are broadcast (under 10 MB) to fetch their texts.
 BROADCAST_ROWS = 200_000
 
@@ -294,63 +295,85 @@ def _families(keys: DataFrame) -> DataFrame:
     return persist(components(keys.join(first, "key").where("id != b").select(F.col("id").alias("a"), "b")).toDF("id", "family"), "jaccard-family")
 
 
+#: A block of sets: the sets' ids, components and sizes, the block's distinct tokens, and of each set the places of its tokens among them (as compressed differences).
+_PACKED = "family long, cls int, own int, ids array<long>, components array<long>, sizes array<int>, words array<long>, places binary"
+
+
+def _pack(sets: pa.Table) -> pa.Table:
+    """One row for the sets of a block. Near copies share most tokens, so it is far smaller than they are."""
+    lists = sets.column("tokens").combine_chunks()
+    words, places = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    steps = np.diff(places, prepend=0).astype(np.int32)
+    row = {name: sets.column(name)[:1].to_pylist() for name in ("family", "cls", "own")}
+    row |= {"ids": [sets.column("id").to_numpy()], "components": [sets.column("component").to_numpy()], "sizes": [lists.value_lengths().to_numpy()], "words": [words], "places": [pa.compress(steps.tobytes(), codec="zstd", asbytes=True)]}
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary())
+    return pa.table({name: pa.array(x, kind) for (name, x), kind in zip(row.items(), kinds, strict=True)})
+
+
+class _Block:
+    def __init__(self, row: pa.Table, i: int):
+        self.ids, self.components, self.sizes, self.words = (row.column(name)[i].values.to_numpy() for name in ("ids", "components", "sizes", "words"))
+        total = int(self.sizes.sum())
+        self.places = np.cumsum(np.frombuffer(pa.decompress(row.column("places")[i].as_buffer(), decompressed_size=4 * total, codec="zstd"), dtype=np.int32))
+        self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+
 def _within(docs: DataFrame, family: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between sets of one family in different components: blocks of ``BLOCK`` sets against each other, each pair of blocks a group of its own."""
-    sets = persist(whole_sets(docs, family.select("id"), size).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens")), "jaccard-sets")
-    blocks = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    rows = family.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).join(sets, "id")
-    rows = rows.select("family", "id", "component", "tokens", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    rows = rows.select(F.xxhash64("family", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "own", (F.col("own") == F.col("other")).alias("same"), "id", "component", "tokens")
-
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, bool]]:
-        held, last, one = [], None, False
-        for batch in batches:
-            tokens = batch.column(5)
-            for i, (key, own, same, doc, comp) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(5)), strict=True)):
-                if key != last:
-                    if held:
-                        yield held, one
-                    held, last, one = [], key, same
-                held.append((own, doc, comp, tokens[i].values.to_numpy()))
-        if held:
-            yield held, one
+    """Links between sets of one family in different components.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held, one in groups(batches):
-            first = held[0][0]
-            left = [x for x in held if x[0] == first]
-            right = left if one else [x for x in held if x[0] != first]
-            if not right:
-                continue
-            a, b = _linked(left, right, percent)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
-
-    return rows.repartition("key").sortWithinPartitions("key", "own", "id").mapInArrow(run, "a long, b long").distinct()
-
-
-def _linked(left: list, right: list, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs of two lists of (block, id, component, tokens), by products of token matrices."""
-    common = np.zeros((len(left), len(right)), dtype=np.float32)
-    places = []
-    for side in (left, right):
-        places.append((np.concatenate([x[3] for x in side]), np.repeat(np.arange(len(side)), [len(x[3]) for x in side])))
-    shared = np.intersect1d(np.unique(places[0][0]), np.unique(places[1][0]), assume_unique=True)
-    at = [np.searchsorted(shared, tokens) for tokens, _ in places]
-    real = [(i < len(shared)) & (shared[np.minimum(i, len(shared) - 1)] == tokens) if len(shared) else np.zeros(len(tokens), bool) for i, (tokens, _) in zip(at, places, strict=True)]
-    for low in range(0, len(shared), 8192):
-        parts = []
-        for i, ok, (_, owner), side in zip(at, real, places, (left, right), strict=True):
-            here = ok & (i >= low) & (i < low + 8192)
-            m = np.zeros((len(side), min(8192, len(shared) - low)), dtype=np.float32)
-            m[owner[here], i[here] - low] = 1
+    Linked sets differ in size by 100 / ``percent`` at most, so they are in the same
+    class of sizes or in neighbouring ones. The sets of a class are dealt to blocks,
+    each is packed once, and blocks of the same and neighbouring classes meet, each
+    two of them in a group of its own.
+    """
+    sets = whole_sets(docs, family.select("id"), size).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"))
+    sets = persist(sets.withColumn("n", F.size("tokens")), "jaccard-sets")
+    placed = persist(family.join(sets.select("id", "n"), "id").withColumn("cls", F.floor(F.log("n") / math.log(101 / percent)).cast("int")), "jaccard-placed")
+    blocks = placed.groupBy("family", "cls").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("nb"))
+    rows = placed.drop("n").join(blocks, ["family", "cls"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).join(sets.drop("n"), "id")
+    packed = rows.select("family", "cls", "own", "id", "component", "tokens").groupBy("family", "cls", "own").applyInArrow(_pack, _PACKED)
+    packed = persist(packed, "jaccard-blocks")
+    drop(sets)
+    drop(placed)
+    # The other block of each meeting, by the own class, the one above and the one below.
+    there = packed.select("family", "cls", "own")
+    same = there.join(there.withColumnRenamed("own", "other"), ["family", "cls"]).select("family", "cls", "own", F.col("cls").alias("c"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.lit(False).alias("next"))
+    over = there.join(there.select("family", (F.col("cls") - 1).alias("cls"), F.col("own").alias("other")), ["family", "cls"])
+    low = over.select("family", "cls", "own", F.col("cls").alias("c"), F.col("own").alias("i"), F.col("other").alias("j"), F.lit(True).alias("next"))
+    high = over.select("family", (F.col("cls") + 1).alias("cls"), F.col("other").alias("own"), F.col("cls").alias("c"), F.col("own").alias("i"), F.col("other").alias("j"), F.lit(True).alias("next"))
+    meetings = same.unionByName(low).unionByName(high)
+
+    def meet(rows: pa.Table) -> pa.Table:
+        left, right = (_Block(rows, i) for i in (0, rows.num_rows - 1))
+        a, b = _linked(left, right, percent)
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return packed.join(meetings, ["family", "cls", "own"]).drop("cls", "own").groupBy("family", "c", "i", "j", "next").applyInArrow(meet, "a long, b long").distinct()
+
+
+def _linked(left: _Block, right: _Block, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of the sets of two blocks, by products of token matrices."""
+    common = np.zeros((len(left.ids), len(right.ids)), dtype=np.float32)
+    _, *shared = np.intersect1d(left.words, right.words, assume_unique=True, return_indices=True)
+    cells = []
+    for side, own in zip((left, right), shared, strict=True):
+        column = np.full(len(side.words), -1, dtype=np.int64)
+        column[own] = np.arange(len(own))
+        at = column[side.places]
+        order = np.argsort(at, kind="stable")  # by columns, so that a chunk is a range
+        cells.append((at[order], side.owner[order], len(side.ids)))
+    for low in range(0, len(shared[0]), 8192):
+        wide, parts = min(8192, len(shared[0]) - low), []
+        for at, owner, n in cells:
+            here = slice(*np.searchsorted(at, (low, low + wide)))
+            m = np.zeros((n, wide), dtype=np.float32)
+            m[owner[here], at[here] - low] = 1
             parts.append(m)
         common += parts[0] @ parts[1].T
-    n = [np.array([len(x[3]) for x in side]) for side in (left, right)]
-    comp = [np.array([x[2] for x in side]) for side in (left, right)]
-    hit = (100 * common.astype(np.int64) >= percent * (n[0][:, None] + n[1][None, :] - common.astype(np.int64))) & (comp[0][:, None] != comp[1][None, :])
+    common = common.astype(np.int64)
+    hit = (100 * common >= percent * (left.sizes[:, None] + right.sizes[None, :] - common)) & (left.components[:, None] != right.components[None, :])
     x, y = np.nonzero(hit)
-    ids = [np.array([x[1] for x in side], dtype=np.int64) for side in (left, right)]
-    return ids[0][x], ids[1][y]
+    return left.ids[x], right.ids[y]
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, rare: int = RARE, largest: int = FAMILY) -> DataFrame:

@@ -74,6 +74,24 @@ def test_jaccard(docs, rare, largest):
     assert got(rows, "id", "n_shingles", "component_id") == brute.jaccard(corpus())
 
 
+def test_jaccard_blocks(spark, monkeypatch):
+    """Blocks of few sets, in several classes of sizes, find each link of a family between different components."""
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    rng = random.Random(5)
+    base = [f"t{i}" for i in range(60)]
+    texts = []
+    for i in range(40):
+        words = base[: rng.choice((30, 36, 45, 60))]
+        for _ in range(rng.choice((0, 0, 1, 2))):
+            words[rng.randrange(len(words))] = f"u{rng.randrange(500)}"
+        texts.append((i, " ".join(words)))
+    rows = spark.createDataFrame(texts, "id long, text string")
+    family = rows.select("id", (F.col("id") % 2).alias("family"), F.floor(F.col("id") / 6).cast("long").alias("component"))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in texts for w in [t.split()]}
+    want = {(a, b) for a in sets for b in sets if a < b and a % 2 == b % 2 and a // 6 != b // 6 and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert {tuple(r) for r in jaccard._within(rows, family, 5, 80).collect()} == want and len(want) > 10
+
+
 def test_repeated_rows_and_null_ids(spark):
     text = " ".join(f"v{i}" for i in range(60))
     df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text + " end")], "doc_id long, text string")
