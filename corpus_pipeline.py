@@ -14,11 +14,13 @@ from quiverline.llm.common import persist, small_batches, table
 from quiverline.llm.queries import SENTENCEPIECE_MODEL, language_model
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Rows of an Arrow batch. Python workers serve one stage after the other and keep what each held most.
+BATCH_ROWS = 250
 
 
 def _begin(spark: SparkSession, docs: DataFrame) -> DataFrame:
     ship(spark)
-    small_batches(spark)
+    small_batches(spark, BATCH_ROWS)
     return docs.select(*COLUMNS)
 
 
@@ -59,9 +61,8 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Piece ids of each document, and whether decoding gives its text back."""
     docs = _begin(spark, docs)
     sent = sentencepiece_codec.send(spark, sentencepiece_codec.read_model(SENTENCEPIECE_MODEL))
-    rows = docs.select("doc_id", "lang", "source", "text", sentencepiece_codec.encode(sent, F.col("text")).alias("tokens"))
-    exact = sentencepiece_codec.decode(sent, F.col("tokens")).eqNullSafe(F.col("text"))
-    return rows.select("doc_id", "lang", "source", "tokens", F.coalesce(F.size("tokens"), F.lit(0)).cast("long").alias("n_tokens"), exact.alias("exact"))
+    rows = docs.select("doc_id", "lang", "source", sentencepiece_codec.encode_checked(sent, F.col("text")).alias("r")).select("doc_id", "lang", "source", "r.*")
+    return rows.select("doc_id", "lang", "source", "tokens", F.coalesce(F.size("tokens"), F.lit(0)).cast("long").alias("n_tokens"), "exact")
 
 
 STAGES = [

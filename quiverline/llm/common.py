@@ -59,9 +59,9 @@ def drop(df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Hand Python small Arrow batches, since rows hold whole documents."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def raw_texts(column: pa.Array) -> list[bytes]:

@@ -29,8 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 MARK = "▁"
-#: Words whose pieces are kept.
-CACHE_WORDS = 200_000
+#: Words whose pieces are kept in each Python worker (about 250 bytes each).
+CACHE_WORDS = 50_000
 _UNKNOWN_PENALTY = 10.0
 
 
@@ -183,6 +183,20 @@ def decode(sent: _Sent, ids: Column) -> Column:
     return run(ids)
 
 
+def encode_checked(sent: _Sent, text: Column) -> Column:
+    """Column ``struct<tokens, exact>``: a text's ids, and whether decoding them gives it back (true of null), in one pass through Python."""
+
+    @F.pandas_udf("tokens array<int>, exact boolean")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codec = _Lazy.get(sent)
+        for texts in parts:
+            tokens = [None if t is None else codec.encode(t) for t in texts]
+            exact = [t is None or codec.decode(ids) == t for t, ids in zip(texts, tokens, strict=True)]
+            yield pd.DataFrame({"tokens": pd.Series(tokens, dtype=object), "exact": pd.Series(exact, dtype=bool)})
+
+    return run(text)
+
+
 def round_trip(sent: _Sent, text: Column) -> Column:
     """Column ``struct<n_tokens, ids_sha256, exact>``: digest of the ids (comma-joined) and whether decoding gives the text back."""
     import hashlib
