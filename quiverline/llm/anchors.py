@@ -83,8 +83,8 @@ class Windows:
     def width(self) -> int:
         return self.length - self.gram + 1
 
-    def pieces(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Of texts together: symbols, anchor of each window, and of each window the text's number (-1: no window) and its place there."""
+    def pieces(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of texts together: symbols, of each symbol the text's number, and of each window that number (-1: no window), its place there and whether it is one."""
         parts: list[tuple[int, int, np.ndarray]] = []
         for i, s in enumerate(self.symbols(texts)):
             for at in range(0, len(s) - self.length + 1, PIECE):
@@ -98,9 +98,10 @@ class Windows:
             at = np.arange(n)
             which = np.repeat(np.arange(len(some)), sizes)[:n]
             inside = at + self.length <= ends[which]
-            own = np.where(inside, np.array([p[0] for p in some])[which], -1)
+            text = np.repeat(np.array([p[0] for p in some]), sizes)
+            own = np.where(inside, text[:n], -1)
             place = at - (ends - sizes)[which] + np.array([p[1] for p in some])[which]
-            yield symbols, own, place, inside
+            yield symbols, text, own, place, inside
 
     def anchors(self, symbols: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each run, and the anchor of each window (0: no window)."""
@@ -121,15 +122,14 @@ def shared_anchors(docs: DataFrame, w: Windows) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), raw_texts(batch.column(1))
-            for symbols, own, _, inside in w.pieces(texts):
+            for symbols, text, _, _, inside in w.pieces(texts):
                 if not inside.any():
                     continue
                 runs, anchor = w.anchors(symbols, inside)
                 # A run counts where it is the smallest of some window that holds it.
                 padded = np.concatenate([np.zeros(w.width - 1, dtype=np.uint64), anchor, np.zeros(w.width - 1, dtype=np.uint64)])
                 at = np.flatnonzero(sliding(padded, w.width, np.maximum) == runs)
-                doc = np.maximum(own[np.clip(at, 0, len(own) - 1)], own[np.clip(at - w.width + 1, 0, len(own) - 1)])
-                key = np.stack([doc.astype(np.uint64), runs[at]], axis=1)[doc >= 0]
+                key = np.stack([text[at].astype(np.uint64), runs[at]], axis=1)  # such a window lies in the text that holds the run's start
                 order = np.lexsort((key[:, 1], key[:, 0]))
                 key = key[order]
                 first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]) if len(key) else np.zeros(0, int)
@@ -147,7 +147,7 @@ def anchors_of(docs: DataFrame, w: Windows) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), raw_texts(batch.column(1))
-            for symbols, own, _, inside in w.pieces(texts):
+            for symbols, _, own, _, inside in w.pieces(texts):
                 if not inside.any():
                     continue
                 _, anchor = w.anchors(symbols, inside)
@@ -179,7 +179,7 @@ def stretches(docs: DataFrame, shared: DataFrame, w: Windows) -> DataFrame:
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), raw_texts(batch.column(1))
             cold, hot = (_flat(batch.column(i)) for i in (2, 3))
-            for symbols, own, place, inside in w.pieces(texts):
+            for symbols, _, own, place, inside in w.pieces(texts):
                 if not inside.any():
                     continue
                 _, anchor = w.anchors(symbols, inside)

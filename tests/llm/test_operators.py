@@ -54,6 +54,28 @@ def test_suffix_array(docs, hot, crowd):
     assert got(rows, "id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeated_bytes(corpus())
 
 
+def short_texts():
+    """Texts of little more than a window between longer ones: copies of each other, and one inside a longer text."""
+    rng = random.Random(8)
+    make = lambda n: " ".join(str(rng.randrange(10**6)) for _ in range(n))
+    texts = []
+    for n in range(13, 21):  # words
+        short = make(n)
+        texts += [make(60), short, make(60), short, make(60), f"{make(20)} {short} {make(20)}", make(60)]
+    for n in (200, 203, 220, 250, 298):  # bytes
+        short = make(60)[:n]
+        texts += [make(90), short, make(90), short, make(90), f"{make(90)} {short} {make(90)}", make(90)]
+    return list(enumerate(texts))
+
+
+def test_repeats_of_short_texts(spark):
+    texts = short_texts()
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)  # one batch, in this order
+    for operator, want in ((substring_dedup, brute.substring(texts)), (suffix_array, brute.repeated_bytes(texts))):
+        rows = df.withColumnRenamed("doc_id", "id").join(operator.removed_spans(df), "id", "left").select("id", operator.digest(F.col("text"), F.col("spans")).alias("d")).select("id", "d.*")
+        assert {r[0]: tuple(r[1:]) for r in rows.collect()} == want
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 60, 500])
 @pytest.mark.parametrize("letters", [1, 2, 5])
 def test_suffix_array_kernel(n, letters):
