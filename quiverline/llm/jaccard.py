@@ -47,6 +47,8 @@ FAMILY = 20_000
 BLOCK, BLOCK_TOKENS = 512, 1 << 20
 #: Ids of sets up to which they are broadcast (under 10 MB) to fetch their texts.
 BROADCAST_ROWS = 200_000
+#: Sets with frequent tokens up to which their frequent tokens are broadcast (about 20 MB).
+OFTEN_ROWS = 20_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -249,6 +251,10 @@ def links(docs: DataFrame, sets: DataFrame, size: int = SHINGLE, percent: int =
     pairs = one.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa")).join(one.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")), "token").where("a < b").where(_sizes_fit("na", "nb", percent))
     # Position bound: what is common lies in the tokens seen in common or after the last of them.
     met = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    often = persist(index.where(F.col("df") > rare).select("token", "id", "n", "pos"), "jaccard-often")
+    no_often = often.isEmpty()
+    if not no_often:
+        met = _with_often(met, often)
     fits = F.col("c") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) >= _least_overlap(percent)
     met = persist(met.where(fits).select("a", "b", "na", "nb"), "jaccard-met")
     single = persist(within_bound(met, sets, percent), "jaccard-candidates")
@@ -256,9 +262,9 @@ def links(docs: DataFrame, sets: DataFrame, size: int = SHINGLE, percent: int =
     drop(sets)
     found = verified(docs, single, size, percent)
     drop(single)
-    often = persist(index.where(F.col("df") > rare).select("token", "id", "n"), "jaccard-often")
-    if often.isEmpty():
+    if no_often:
         return found
+    often = often.drop("pos")
     label = components(found)
     rest = _apart(often, label)
     if rest.isEmpty():
@@ -281,6 +287,20 @@ def links(docs: DataFrame, sets: DataFrame, size: int = SHINGLE, percent: int =
     return persist(found.unionByName(_within(docs, persist(family, "jaccard-families"), size, percent)), "jaccard-all")
 
 
+def _with_often(met: DataFrame, often: DataFrame) -> DataFrame:
+    """``met`` with the common frequent tokens before the last token seen in common counted in ``c``."""
+    own = persist(often.groupBy("id").agg(F.collect_list(F.struct("token", "pos")).alias("t")), "jaccard-often-of")
+    side = F.broadcast(own) if own.count() <= OFTEN_ROWS else own
+    both = met.join(side.toDF("a", "x"), "a", "left").join(side.toDF("b", "y"), "b", "left")
+
+    def before(tokens: str, last: str):
+        return F.transform(F.filter(tokens, lambda t: t["pos"] < F.col(last)), lambda t: t["token"])
+
+    common = F.coalesce(F.size(F.array_intersect(before("x", "pa"), before("y", "pb"))), F.lit(0))
+    # Either side without frequent tokens has none in common.
+    return both.withColumn("c", F.col("c") + F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), common).otherwise(0)).drop("x", "y")
+
+
 def _apart(often: DataFrame, label: DataFrame) -> DataFrame:
     """Stored rows of the frequent tokens whose sets lie in several components, with the component of each."""
     rest = often.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))

@@ -96,6 +96,19 @@ def test_jaccard(docs, rare, largest):
     assert got(rows, "id", "n_shingles", "component_id") == brute.jaccard(corpus())
 
 
+def test_jaccard_position_bound(spark):
+    """Pairs of short sets at the exact threshold, with frequent tokens before their rare common ones, in families formed by pairs of tokens."""
+    rng = random.Random(0)
+    common, texts = [f"c{i}" for i in range(40)], []
+    for f in range(60):
+        core = [f"f{f}_{i}" for i in range(4)] + rng.sample(common, 5)
+        texts += [" ".join([*core, f"o{f}_{j}"]) for j in range(2)]
+    rng.shuffle(texts)
+    texts = list(enumerate(texts))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert got(jaccard.join(df, size=1, rare=2, largest=1), "id", "n_shingles", "component_id") == brute.jaccard(texts, size=1)
+
+
 def test_jaccard_blocks(spark, monkeypatch):
     """Blocks of few sets, in several classes of sizes, find each link of a family between different components."""
     monkeypatch.setattr(jaccard, "BLOCK", 3)
