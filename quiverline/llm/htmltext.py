@@ -18,8 +18,8 @@ of the text) is the main text.
 Edge cases: null, empty and textless pages give an empty text; pages without an
 address share one wrapper; a host with fewer than ``LEAST_PAGES`` pages, or whose
 pages are all alike, has no fixed text; a block with some text of its own stays
-whole; unclosed, stray and deeply nested tags are
-read as browsers would, roughly; pages of any length are read whole.
+whole; unclosed and stray tags are read as browsers would, roughly; tags nest
+to any depth; pages of any length are read whole.
 """
 
 from __future__ import annotations
@@ -36,8 +36,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: Pages of a host from which text that all of them share counts as the site's.
 LEAST_PAGES = 5
-#: Elements nested deeper than this join the one that holds them.
-DEPTH = 60
 #: Groups of an element that are aligned with a wrapper's, folded; more than this are compared by position.
 ALIGN = 400
 #: Bytes of all wrappers up to which they are broadcast.
@@ -48,6 +46,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = "script|style|noscript|template|svg|iframe|textarea|title|math|object|canvas|select|audio|video"
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 DROP = frozenset("head nav aside footer form button dialog menu".split())
+_LISTS = ("ul", "ol", "dl", "table", "tbody", "thead")
+#: Elements that end an open one of these names, unless one of the holders lies between.
+ENDS = {n: (same, (*_LISTS, "tr") if n in ("td", "th") else _LISTS) for same in (("li",), ("dt", "dd"), ("tr",), ("td", "th")) for n in same}
 #: Names of classes, ids and roles that mark what isn't the article.
 MARKS = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer contentinfo sidebar side aside complementary ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies notice notices consent gdpr popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments disqus respond reply replies discussion form search login toolbar pagination pager widget skip skiplink alert dialog hidden".split())
 
@@ -94,6 +95,15 @@ def _marks(attributes: str) -> tuple[str, ...]:
 def parse(page: str) -> Node:
     root = Node("")
     stack = [root]
+    places: dict[str, list[int]] = {}  # of each name, where it is open in the stack
+
+    def last(names) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
+    def cut(i: int) -> None:
+        while len(stack) > i:
+            places[stack.pop().name].pop()
+
     for kind, name, value in tokens(page):
         if kind == "text":
             if stack[-1].kids and isinstance(stack[-1].kids[-1], str):
@@ -103,28 +113,18 @@ def parse(page: str) -> Node:
         elif kind == "open":
             if name in BLOCK:
                 if stack[-1].name == "p" or len(stack) > 2 and stack[-1].name not in BLOCK and any(n.name == "p" for n in stack[-4:]):
-                    while stack[-1].name != "p":
-                        stack.pop()
-                    stack.pop()
-                if name in ("li", "dt", "dd", "tr", "td", "th"):
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i].name in ("ul", "ol", "dl", "table", "tbody", "thead") or name in ("td", "th") and stack[i].name == "tr":
-                            break
-                        if stack[i].name == name or {stack[i].name, name} <= {"dt", "dd"} or {stack[i].name, name} <= {"td", "th"}:
-                            del stack[i:]
-                            break
+                    cut(last(("p",)))
+                if name in ENDS:
+                    same, holders = ENDS[name]
+                    if (i := last(same)) > last(holders):
+                        cut(i)
             node = Node(name, _marks(value))
-            if len(stack) <= DEPTH:
-                stack[-1].kids.append(node)
-                if name not in VOID and not value.endswith("/"):
-                    stack.append(node)
-            else:
-                stack[-1].kids.append(Node("br") if name in BLOCK else "")
-        else:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    break
+            stack[-1].kids.append(node)
+            if name not in VOID and not value.endswith("/"):
+                places.setdefault(name, []).append(len(stack))
+                stack.append(node)
+        elif places.get(name):
+            cut(places[name][-1])
     return root
 
 
@@ -137,23 +137,30 @@ def clean(text: str) -> str:
 
 def fold(node: Node) -> list:
     """A page's stream as a wrapper of its own, equal neighbours folded into repeated groups."""
-    kids: list = []
-    for kid in node.kids:
-        if isinstance(kid, str):
-            if not (text := clean(kid)):
-                continue
-            if kids and not isinstance(kids[-1], list):
-                kids[-1] = None
-            else:
-                kids.append(text)
-            continue
-        group = fold(kid)
-        if kids and isinstance(kids[-1], list) and kids[-1][0] == group[0] and kids[-1][1] == group[1]:
-            kids[-1] = align(kids[-1], group)
-            kids[-1][3] = 1
+    top = [node.name, list(node.marks), 0, 0, []]
+    stack = [(top, iter(node.kids))]
+    while True:
+        own, rest = stack[-1]
+        kids = own[4]
+        for kid in rest:
+            if not isinstance(kid, str):
+                stack.append(([kid.name, list(kid.marks), 0, 0, []], iter(kid.kids)))
+                break
+            if text := clean(kid):
+                if kids and not isinstance(kids[-1], list):
+                    kids[-1] = None
+                else:
+                    kids.append(text)
         else:
-            kids.append(group)
-    return [node.name, list(node.marks), 0, 0, kids]
+            stack.pop()
+            if not stack:
+                return top
+            kids = stack[-1][0][4]
+            if kids and isinstance(kids[-1], list) and kids[-1][0] == own[0] and kids[-1][1] == own[1]:
+                kids[-1] = align(kids[-1], own)
+                kids[-1][3] = 1
+            else:
+                kids.append(own)
 
 
 def _key(kid) -> tuple:
@@ -162,28 +169,47 @@ def _key(kid) -> tuple:
 
 def align(a: list, b: list) -> list:
     """The wrapper of what either of two groups of one name generates."""
-    return [a[0], a[1], a[2] | b[2], a[3] | b[3], _align(a[4], b[4])]
+    stack, back = [_group(a, b)], None
+    while stack:  # the generators' calls of each other, at any depth
+        try:
+            stack.append(stack[-1].send(back))
+            back = None
+        except StopIteration as end:
+            stack.pop()
+            back = end.value
+    return back
+
+
+def _group(a: list, b: list):
+    return [a[0], a[1], a[2] | b[2], a[3] | b[3], (yield _align(a[4], b[4]))]
 
 
 def _pair(x, y):
-    return align(x, y) if isinstance(x, list) else x if x == y else None
+    return (yield _group(x, y)) if isinstance(x, list) else x if x == y else None
+
+
+def _pairs(a: list, b: list):
+    out = []
+    for x, y in zip(a, b, strict=True):
+        out.append((yield _pair(x, y)))
+    return out
 
 
 def _optional(kid):
     return [*kid[:2], 1, *kid[3:]] if isinstance(kid, list) else None
 
 
-def _align(a: list, b: list) -> list:
+def _align(a: list, b: list):
     left, right = [_key(x) for x in a], [_key(x) for x in b]
     if left == right:
-        return [_pair(x, y) for x, y in zip(a, b, strict=True)]
+        return (yield _pairs(a, b))
     out: list = []
 
-    def lone(kids: list) -> None:
+    def lone(kids: list):
         for kid in kids:
             kid = _optional(kid)
             if out and _key(out[-1]) == _key(kid):  # neighbours of one kind become a repeated group
-                out[-1] = _pair(out[-1], kid)
+                out[-1] = yield _pair(out[-1], kid)
                 if isinstance(out[-1], list):
                     out[-1][2:4] = [1, 1]
             else:
@@ -193,16 +219,16 @@ def _align(a: list, b: list) -> list:
         same = 0
         while same < min(len(a), len(b)) and left[same] == right[same]:
             same += 1
-        out.extend(_pair(x, y) for x, y in zip(a[:same], b[:same], strict=True))
-        lone(a[same:])
-        lone(b[same:])
+        out.extend((yield _pairs(a[:same], b[:same])))
+        yield lone(a[same:])
+        yield lone(b[same:])
         return out
     for op, i, j, k, m in SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
         if op == "equal":
-            out.extend(_pair(x, y) for x, y in zip(a[i:j], b[k:m], strict=True))
+            out.extend((yield _pairs(a[i:j], b[k:m])))
         else:
-            lone(a[i:j])
-            lone(b[k:m])
+            yield lone(a[i:j])
+            yield lone(b[k:m])
     return out
 
 
@@ -217,99 +243,146 @@ class Wrapper:
         self.pages += pages
 
     def dumps(self) -> str:
-        return json.dumps([self.pages, self.tree], ensure_ascii=False, separators=(",", ":"))
+        return json.dumps([self.pages, _flat(self.tree)], ensure_ascii=False, separators=(",", ":"))
 
     @classmethod
     def loads(cls, text: str) -> Wrapper:
-        return cls(*json.loads(text))
+        pages, flat = json.loads(text)
+        return cls(pages, _nested(flat))
+
+
+def _flat(tree: list) -> list:
+    """A wrapper without nesting: a group's own values, its kids, then 0."""
+    out, stack = [tree[:4]], [iter(tree[4])]
+    while stack:
+        for kid in stack[-1]:
+            if isinstance(kid, list):
+                out.append(kid[:4])
+                stack.append(iter(kid[4]))
+                break
+            out.append(kid)
+        else:
+            stack.pop()
+            out.append(0)
+    return out
 
 
-def _has_slot(kids: list) -> bool:
-    return any(k is None or isinstance(k, list) and _has_slot(k[4]) for k in kids)
+def _nested(flat: list) -> list:
+    stack: list = [[None, None, 0, 0, []]]
+    for x in flat:
+        if isinstance(x, list):
+            stack[-1][4].append(group := [*x, []])
+            stack.append(group)
+        elif x == 0:
+            stack.pop()
+        else:
+            stack[-1][4].append(x)
+    return stack[0][4][0]
 
 
-def _fixed(kids: list, into: set[tuple[str, str]], path: str) -> None:
-    for kid in kids:
-        if isinstance(kid, str):
-            into.add((path, kid))
-        elif isinstance(kid, list) and not kid[2]:  # what some pages lack isn't shared by all
-            _fixed(kid[4], into, f"{path}/{'.'.join(_key(kid))}")
+def _has_slot(kids: list) -> bool:
+    todo = [kids]
+    while todo:
+        for k in todo.pop():
+            if k is None:
+                return True
+            if isinstance(k, list):
+                todo.append(k[4])
+    return False
+
+
+def _fixed(kids: list, into: set[tuple[int, str]], paths: dict[tuple[int, str], int]) -> None:
+    """Fixed texts by the number of their path; ``paths`` numbers a path by that of its parent (the root's is 0) and the last step."""
+    todo = [(kids, 0)]
+    while todo:
+        kids, path = todo.pop()
+        for kid in kids:
+            if isinstance(kid, str):
+                into.add((path, kid))
+            elif isinstance(kid, list) and not kid[2]:  # what some pages lack isn't shared by all
+                todo.append((kid[4], paths.setdefault((path, ".".join(_key(kid))), len(paths) + 1)))
 
 
 class Extractor:
     def __init__(self, wrapper: str | None):
         w = Wrapper.loads(wrapper) if wrapper else Wrapper()
-        self.fixed: set[tuple[str, str]] = set()
+        self.fixed: set[tuple[int, str]] = set()
+        self.paths: dict[tuple[int, str], int] = {}
         if w.tree and w.pages >= LEAST_PAGES and _has_slot(w.tree[4]):
-            _fixed(w.tree[4], self.fixed, "")
+            _fixed(w.tree[4], self.fixed, self.paths)
 
     def __call__(self, page: str | None) -> str:
         """The main text: a line for each block."""
         if not page:
             return ""
         root = parse(page)
-        blocks: list[tuple[str, frozenset]] = []  # text, and the elements that hold it
+        blocks: list[str] = []
+        spans: list[tuple[int, int]] = []  # of each block element the range of its blocks
         held: list[str] = []
         own_text = False  # whether the block has text that isn't the site's
 
-        def flush(owners: tuple) -> None:
+        def flush() -> None:
             nonlocal own_text
             if own_text and (text := clean("".join(held))):
-                blocks.append((text, frozenset(owners)))
+                blocks.append(text)
             held.clear()
             own_text = False
 
-        articles: list[int] = []
-        mains: list[int] = []
-
-        def walk(node: Node, owners: tuple, path: str, within: bool) -> None:
-            nonlocal own_text
-            for kid in node.kids:
+        articles: list[tuple[int, int]] = []
+        mains: list[tuple[int, int]] = []
+        # An open element: its kids that are left, its path's number (-1: not in the wrapper), whether it is a
+        # block, in an article or main one, where its blocks start, and the list that its range goes to.
+        stack = [(iter(root.kids), 0, False, False, 0, None)]
+        while stack:
+            rest, path, block, within, start, into = stack[-1]
+            for kid in rest:
                 if isinstance(kid, str):
                     held.append(kid)
                     own_text = own_text or not kid.isspace() and (not self.fixed or (path, clean(kid)) not in self.fixed)
                     continue
                 name, marks = kid.name, set(kid.marks)
                 if name in ("br", "hr", "wbr"):
-                    flush(owners) if name == "hr" else held.append(" " if name == "br" else "")
+                    flush() if name == "hr" else held.append(" " if name == "br" else "")
                     continue
                 own = name in ("article", "main") or bool(marks & {"articlebody"})
                 plain = own or name in ("html", "body") or name in ("h1", "h2", "h3", "h4", "h5", "h6", "p")
                 if name in DROP or name == "header" and not within or "hidden" in marks or marks & MARKS and not (plain and not marks & {"comment", "comments", "ad", "ads", "advert", "notice", "sidebar"}):
-                    flush(owners) if name in BLOCK else None
+                    flush() if name in BLOCK else None
                     continue
-                block = name in BLOCK
-                if block:
-                    flush(owners)
-                inner = (*owners, id(kid)) if block else owners
+                if name in BLOCK:
+                    flush()
+                chosen = None
                 if name == "article" or "articlebody" in marks:
-                    articles.append(id(kid))
+                    chosen = articles
                 elif name == "main" or "main" in marks and name == "div":
-                    mains.append(id(kid))
-                walk(kid, inner, f"{path}/{'.'.join((name, *kid.marks))}", within or own)
+                    chosen = mains
+                step = self.paths.get((path, ".".join((name, *kid.marks))), -1)
+                stack.append((iter(kid.kids), step, name in BLOCK, within or own, len(blocks), chosen))
+                break
+            else:
+                stack.pop()
                 if block:
-                    flush(inner)
-
-        walk(root, (), "", False)
-        flush(())
+                    flush()
+                    spans.append((start, len(blocks)))
+                    if into is not None:
+                        into.append((start, len(blocks)))
+        flush()
         for some in (articles, mains):
-            if some and (chosen := [t for t, o in blocks if o & set(some)]):
+            chosen, end = [], 0
+            for a, b in sorted(some):
+                chosen.extend(blocks[max(a, end) : b])
+                end = max(end, b)
+            if chosen:
                 return "\n".join(chosen)
-        total = sum(len(t) for t, _ in blocks)
-        share: dict[int, int] = {}
-        for text, owners in blocks:
-            for o in owners:
-                share[o] = share.get(o, 0) + len(text)
-        # The innermost element with two thirds of the text; owners of fewer blocks lie further in.
-        count: dict[int, int] = {}
-        for _, owners in blocks:
-            for o in owners:
-                count[o] = count.get(o, 0) + 1
-        good = [(count[o], -share[o], o) for o in share if 3 * share[o] >= 2 * total and count[o] > 1]
+        before = [0]
+        for text in blocks:
+            before.append(before[-1] + len(text))
+        # The innermost element with two thirds of the text; one of fewer blocks lies further in.
+        good = [(b - a, before[a] - before[b], a) for a, b in spans if b - a > 1 and 3 * (before[b] - before[a]) >= 2 * before[-1]]
         if good:
-            best = min(good)[2]
-            return "\n".join(t for t, o in blocks if best in o)
-        return "\n".join(t for t, _ in blocks)
+            n, _, a = min(good)
+            return "\n".join(blocks[a : a + n])
+        return "\n".join(blocks)
 
 
 def host_of(url: Column) -> Column:

@@ -266,3 +266,21 @@ def test_html(spark):
     assert text[99] == text[98] == "" and text[97] == "unclosed text"
     assert htmltext.Extractor(None)("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
     assert htmltext.Extractor(None)("<a href='" * 3000) is not None
+
+
+def test_html_deep():
+    """Elements below many others keep their names: what follows a nest stays in its article, menus go, blocks are lines."""
+    out = htmltext.Extractor(None)
+    nest = lambda n, x: "<div>" * n + x + "</div>" * n
+    for n in (70, 3000):
+        assert out(f"<div id=w><article><p>A</p>{nest(n, 'x')}<p>B</p></article></div>") == "A\nx\nB"
+        assert out(f"<body>{nest(n, '<p>one</p><nav>menu</nav><form>find</form><div class=hidden>no</div><p>two</p>')}</body>") == "one\ntwo"
+    page = "<html><body>" + nest(3000, "<span>Site</span><p>text {i}</p>") + "</body></html>"
+    own = htmltext.Wrapper()
+    for i in range(6):
+        w = htmltext.Wrapper()
+        w.add(htmltext.fold(htmltext.parse(page.replace("{i}", str(i)))))
+        w = htmltext.Wrapper.loads(w.dumps())
+        own.add(w.tree, w.pages)
+    assert htmltext.Extractor(own.dumps())(page.replace("{i}", "9")) == "text 9"
+    assert htmltext.Extractor(None)("<ul>" + "<b>" * 20_000 + "</i><li></li>" * 20_000 + "end") == "end"
