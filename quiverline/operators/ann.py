@@ -22,6 +22,9 @@ from quiverline.operators.search import as_condition, knn
 from quiverline.plans.filters import Filter
 from quiverline.types import Metric
 
+#: Cells that a search reads of the 16 by default: recall over 0.9 on vectors without clusters.
+NPROBE = 11
+
 
 class IvfIndex:
     """Rows dealt to the nearest of ``cells`` centroids; a search reads ``nprobe`` cells.
@@ -52,7 +55,7 @@ class IvfIndex:
         d = D.block_distances(_cell_metric(self.metric), self.centroids, np.array([query], dtype=float))[:, 0]
         return [int(i) for i in np.argsort(d, kind="stable")[:nprobe]]
 
-    def search(self, query: Sequence[float], k: int, nprobe: int = 8, where: Filter | Column | None = None, columns: Sequence[str] = ()) -> DataFrame:
+    def search(self, query: Sequence[float], k: int, nprobe: int = NPROBE, where: Filter | Column | None = None, columns: Sequence[str] = ()) -> DataFrame:
         rows = self.rows.where(F.col("cell").isin(self.probes(query, nprobe)))
         return knn(rows, query, k, self.metric, where, self.id_col, self.vec_col, columns)
 

@@ -3,6 +3,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from quiverline import queries
 from quiverline.functions import distance as D, payload as P
 from quiverline.operators.ann import AnnConfig, GraphIndex, IvfIndex, recall_at_k
 from quiverline.operators.bitmap import BitmapIndex
@@ -136,3 +137,13 @@ def test_ivf(spark, tmp_path):
     want = [r["id"] for r in knn(df, q, 5, "euclidean").collect()]
     assert [r["id"] for r in index.search(q, 5, nprobe=1).collect()] == want
     assert "PartitionFilters: [isnotnull(cell" in index.search(q, 5, nprobe=1)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("name", ["ivf_recall", "lsh_recall"])
+def test_recall_of_defaults(spark, tmp_path, name):
+    """On vectors without clusters, the hard case of cells."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.uniform(-1, 1, size=64).tolist(), i % 5) for i in range(2000)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    recall = [r["recall"] for r in queries.queries()[name](spark, str(tmp_path)).collect()]
+    assert len(recall) == 20 and sum(recall) / 20 >= 0.9
