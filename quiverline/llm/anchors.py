@@ -22,9 +22,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quiverline.llm.common import chunks, persist, raw_texts
+from quiverline.llm.words import mix
 
 #: Symbols that are hashed at once; longer documents are cut into overlapping pieces.
 PIECE = 1 << 19
@@ -32,13 +33,6 @@ PIECE = 1 << 19
 _U = np.uint64
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
 def run_hashes(symbols: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     """Hash of each run of ``size`` symbols (uint64), by joining runs of powers of two."""
     odd = mix(np.arange(1, 65, dtype=np.uint64) + _U(1000 * seed)) | _U(1)
@@ -112,12 +106,28 @@ class Windows:
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
+def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """What names a row by its content, ``id`` and ``h``: its id and a hash of its text, or two hashes where the id is null.
+
+    Rows that repeat an id with another text are told apart; equal rows are each
+    other's copies and lose the same, so they may share a key.
+    """
+    known = F.col(id_col).isNotNull()
+    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col), F.lit(1))), F.xxhash64(known, F.col(text_col))
+
+
+def with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` and the column ``_spans``, null in rows without."""
+    first, second = row_key(id_col, text_col)
+    return docs.withColumns({"_id": first, "_h": second}).join(spans.toDF("_id", "_h", "_spans"), ["_id", "_h"], "left").drop("_id", "_h")
+
+
 def _wide(symbols: np.ndarray) -> np.ndarray:
     return _BYTES[symbols] if symbols.dtype == np.uint8 else symbols.astype(np.uint64) * _U(0x9E3779B97F4A7C15)
 
 
 def shared_anchors(docs: DataFrame, w: Windows) -> DataFrame:
-    """``anchor``, ``n``, ``low``, ``high``: occurrences and smallest and largest id, of anchors that occur twice or more. ``docs`` has ``id`` and ``text``."""
+    """``anchor``, ``n``, ``low``, ``high``: occurrences and smallest and largest id, of anchors that occur twice or more. ``docs`` has ``id``, ``h`` (see :func:`row_key`) and ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,20 +152,20 @@ def shared_anchors(docs: DataFrame, w: Windows) -> DataFrame:
 
 
 def anchors_of(docs: DataFrame, w: Windows) -> DataFrame:
-    """``anchor``, ``id`` of every document."""
+    """``anchor``, ``id``, ``h`` of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), raw_texts(batch.column(1))
+            ids, marks, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), raw_texts(batch.column(2))
             for symbols, _, own, _, inside in w.pieces(texts):
                 if not inside.any():
                     continue
                 _, anchor = w.anchors(symbols, inside)
                 turn = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1])] & inside)
                 key = _distinct(own[turn], anchor[turn])
-                yield pa.RecordBatch.from_arrays([pa.array(key[1].view(np.int64)), pa.array(ids[key[0]].astype(np.int64))], names=["anchor", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[1].view(np.int64)), pa.array(ids[key[0]]), pa.array(marks[key[0]])], names=["anchor", "id", "h"])
 
-    return docs.select("id", "text").mapInArrow(run, "anchor long, id long")
+    return docs.select("id", "h", "text").mapInArrow(run, "anchor long, id long, h long")
 
 
 def _distinct(own: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,20 +175,20 @@ def _distinct(own: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return own[new], anchor[new]
 
 
-STRETCH = "hot boolean, key long, s1 long, s2 long, id long, at long, n int, data binary"
+STRETCH = "hot boolean, key long, s1 long, s2 long, id long, h long, at long, n int, data binary"
 
 
 def stretches(docs: DataFrame, shared: DataFrame, w: Windows) -> DataFrame:
     """Rows of :data:`STRETCH`: the stretches of windows whose anchor is in ``shared``, of hot ones also what stands for their content."""
     wanted = anchors_of(docs, w).join(shared.select("anchor", (F.col("n") > w.hot).alias("hot")), "anchor")
-    of = wanted.groupBy("id").agg(F.collect_list(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
-    rows = docs.select("id", "text").join(of, "id")
+    of = wanted.groupBy("id", "h").agg(F.collect_list(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+    rows = docs.select("id", "h", "text").join(of, ["id", "h"])
     most = 4 * w.width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), raw_texts(batch.column(1))
-            cold, hot = (_flat(batch.column(i)) for i in (2, 3))
+            ids, marks, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), raw_texts(batch.column(2))
+            cold, hot = (_flat(batch.column(i)) for i in (3, 4))
             for symbols, _, own, place, inside in w.pieces(texts):
                 if not inside.any():
                     continue
@@ -200,14 +210,14 @@ def stretches(docs: DataFrame, shared: DataFrame, w: Windows) -> DataFrame:
                 names = np.zeros((len(s), 2), np.int64)
                 for i in np.flatnonzero(is_hot).tolist():
                     names[i] = np.frombuffer(hashlib.blake2b(parts[i], digest_size=16).digest(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(is_hot), pa.array(anchor[s].view(np.int64)), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), pa.array(ids[own[s]]), pa.array(place[s]), pa.array(n.astype(np.int32)), pa.array(parts, pa.binary())], names=["hot", "key", "s1", "s2", "id", "at", "n", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(is_hot), pa.array(anchor[s].view(np.int64)), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), pa.array(ids[own[s]]), pa.array(marks[own[s]]), pa.array(place[s]), pa.array(n.astype(np.int32)), pa.array(parts, pa.binary())], names=["hot", "key", "s1", "s2", "id", "h", "at", "n", "data"])
 
     return rows.mapInArrow(run, STRETCH)
 
 
 @dataclass(frozen=True)
 class Hot:
-    """``copies``: id, at, n, first (smallest id), times of each hot stretch; ``few``: the stretches of each content in its first document, to join the groups; ``windows``: key, key2, id, at of those of crowded anchors."""
+    """``copies``: id, h, at, n, first (smallest id), times of each hot stretch; ``few``: the stretches of each content in its first document, to join the groups; ``windows``: key, key2, id, h, at of those of crowded anchors."""
 
     copies: DataFrame
     few: DataFrame
@@ -220,18 +230,18 @@ def cool(found: DataFrame, w: Windows) -> Hot | None:
     if hot.isEmpty():
         return None
     of = persist(hot.groupBy(*name).agg(F.min("id").alias("first"), F.count("*").alias("times")), "anchors-contents")
-    copies = hot.select(*name, "id", "at", "n").join(of.where("times > 1"), name)
+    copies = hot.select(*name, "id", "h", "at", "n").join(of.where("times > 1"), name)
     one = hot.join(of.select(*name, F.col("first").alias("id")), [*name, "id"], "left_semi")
     crowded = persist(of.groupBy("key").agg(F.count("*").alias("d")).where(F.col("d") > w.crowd).select("key"), "anchors-crowded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, at, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc, mark, at, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 symbols = _wide(np.frombuffer(data, dtype=w.payload))
                 first, second = (run_hashes(symbols, w.length, seed).view(np.int64) for seed in (1, 2))
-                yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), pa.array(np.full(len(first), doc)), pa.array(np.arange(at, at + len(first)))], names=["key", "key2", "id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), pa.array(np.full(len(first), doc)), pa.array(np.full(len(first), mark)), pa.array(np.arange(at, at + len(first)))], names=["key", "key2", "id", "h", "at"])
 
-    windows = one.join(crowded, "key", "left_semi").select("id", "at", "data").mapInArrow(run, "key long, key2 long, id long, at long")
+    windows = one.join(crowded, "key", "left_semi").select("id", "h", "at", "data").mapInArrow(run, "key long, key2 long, id long, h long, at long")
     return Hot(copies, one.join(crowded, "key", "left_anti"), windows)
 
 
@@ -257,13 +267,13 @@ def _cut(turn: np.ndarray, end: int, most: int) -> np.ndarray:
     return np.concatenate([np.arange(a, a + m, most) for a, m in zip(turn.tolist(), size.tolist(), strict=True)])
 
 
-def grouped(rows: DataFrame, work: Callable[[Iterator[list[tuple[int, int, int, bytes]]]], Iterator[tuple[int, int, int]]]) -> DataFrame:
-    """``id``, ``a``, ``b`` that ``work`` makes of the groups of one key, each a list of (id, at, n, data) sorted by id and place."""
+def grouped(rows: DataFrame, work: Callable[[Iterator[list[tuple[int, int, int, int, bytes]]]], Iterator[tuple[int, int, int, int]]]) -> DataFrame:
+    """``id``, ``h``, ``a``, ``b`` that ``work`` makes of the groups of one key, each a list of (id, h, at, n, data) sorted by row and place."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         held, last = [], None
         for batch in batches:
-            for key, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for key, *row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if key != last:
                     if held:
                         yield held
@@ -273,10 +283,10 @@ def grouped(rows: DataFrame, work: Callable[[Iterator[list[tuple[int, int, int,
             yield held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple[int, int, int, int]] = []
 
         def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["id", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names=["id", "h", "a", "b"])
 
         for span in work(groups(batches)):
             out.append(span)
@@ -285,9 +295,9 @@ def grouped(rows: DataFrame, work: Callable[[Iterator[list[tuple[int, int, int,
                 out.clear()
         yield batch()
 
-    dealt = rows.select("key", "id", "at", "n", "data").repartition("key").sortWithinPartitions("key", "id", "at")
-    return dealt.mapInArrow(run, "id long, a long, b long")
+    dealt = rows.select("key", "id", "h", "at", "n", "data").repartition("key").sortWithinPartitions("key", "id", "h", "at")
+    return dealt.mapInArrow(run, "id long, h long, a long, b long")
 
 
 def spans_by_document(spans: DataFrame) -> DataFrame:
-    return spans.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return spans.groupBy("id", "h").agg(F.collect_list(F.struct("a", "b")).alias("spans"))

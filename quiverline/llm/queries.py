@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quiverline.llm import decontaminate, htmltext, jaccard, langid, pii, quality, sentencepiece_codec, substring_dedup, suffix_array, warc
+from quiverline.llm import anchors, decontaminate, htmltext, jaccard, langid, pii, quality, sentencepiece_codec, substring_dedup, suffix_array, warc
 from quiverline.llm.common import persist, small_batches, table
 
 #: Where the model file of a public SentencePiece tokenizer lies.
@@ -22,9 +22,9 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    rows = docs.join(substring_dedup.removed_spans(docs, "id"), "id", "left")
-    return rows.select("id", substring_dedup.digest(F.col("text"), F.col("spans")).alias("d")).select(F.col("id").alias("doc_id"), "d.*")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = anchors.with_spans(docs, substring_dedup.removed_spans(docs), "doc_id", "text")
+    return rows.select("doc_id", substring_dedup.digest(F.col("text"), F.col("_spans")).alias("d")).select("doc_id", "d.*")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,9 +47,9 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    rows = docs.join(suffix_array.removed_spans(docs, "id"), "id", "left")
-    return rows.select("id", suffix_array.digest(F.col("text"), F.col("spans")).alias("d")).select(F.col("id").alias("doc_id"), "d.*")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = anchors.with_spans(docs, suffix_array.removed_spans(docs), "doc_id", "text")
+    return rows.select("doc_id", suffix_array.digest(F.col("text"), F.col("_spans")).alias("d")).select("doc_id", "d.*")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

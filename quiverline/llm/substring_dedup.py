@@ -13,9 +13,12 @@ automata of all shards to all documents would cost the square of the corpus.
 Words are symbols of 32 bits; two different windows would have to agree in all
 ``WINDOW`` of them to be taken for equal.
 
-Edge cases: null texts have no words; rows with a null id are kept whole and take
-no part; rows that repeat an id are one document for "smaller"; texts of fewer
-words than a window are kept whole.
+Edge cases: null texts have no words; rows with a null id have no place in the
+order, so they are kept whole and take no part; rows that repeat an id don't make
+each other lose words, and each loses only what its own text repeats; ties in ids
+are no "smaller"; texts of fewer words than a window are kept whole; very long
+texts are hashed in pieces and read whole; other columns, whatever their names,
+play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,18 +32,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quiverline.llm import anchors
 from quiverline.llm.common import drop, persist
+from quiverline.llm.words import word_hashes
 
 WINDOW, GRAM = 13, 4
 
 
 def word_symbols(texts: list[bytes]) -> list[np.ndarray]:
     """A symbol for each word of each text, hashed together."""
-    words = [t.split() for t in texts]
-    ends = np.cumsum([len(w) for w in words])
-    if not len(ends) or not ends[-1]:
-        return [np.zeros(0, dtype=np.uint64)] * len(texts)
-    symbols = pd.util.hash_array(np.array([x for w in words for x in w], dtype=object), categorize=True) >> np.uint64(32)
-    return np.split(symbols, ends[:-1])
+    hashes, sizes = word_hashes(texts)
+    return np.split(hashes >> np.uint64(32), np.cumsum(sizes)[:-1])
 
 
 def windows(length: int = WINDOW, hot: int = 4096, crowd: int = 10_000) -> anchors.Windows:
@@ -109,7 +109,7 @@ class SuffixAutomaton:
 
 
 def _shards(least: int):
-    def work(groups: Iterator[list]) -> Iterator[tuple[int, int, int]]:
+    def work(groups: Iterator[list]) -> Iterator[tuple[int, int, int, int]]:
         for group in groups:
             if group[0][0] == group[-1][0]:
                 continue  # one document: nothing smaller
@@ -120,15 +120,15 @@ def _shards(least: int):
                 while end < len(group) and group[end][0] == group[at][0]:
                     end += 1
                 fresh = []
-                for doc, place, n, data in group[at:end]:
+                for doc, mark, place, n, data in group[at:end]:
                     if data in known:
-                        yield doc, place, place + n + least - 1
+                        yield doc, mark, place, place + n + least - 1
                         continue
                     sequence = np.frombuffer(data, dtype="<u4").tolist()
                     fresh.append((data, sequence))
                     if at:
                         for a, b in reference.matches(sequence, least):
-                            yield doc, place + a, place + b
+                            yield doc, mark, place + a, place + b
                 for data, sequence in fresh:
                     if data not in known:
                         known.add(data)
@@ -140,18 +140,19 @@ def _shards(least: int):
 
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot: int = 4096, crowd: int = 10_000) -> DataFrame:
-    """Stored table ``id``, ``spans`` (array of word ranges, which may overlap) of the documents that lose words."""
+    """Stored table ``id``, ``h`` (see ``anchors.row_key``), ``spans`` (array of word ranges, which may overlap) of the rows that lose words."""
     w = windows(window, hot, crowd)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    first, second = anchors.row_key(id_col, text_col)
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(first.alias("id"), second.alias("h"), F.col(text_col).alias("text"))
     shared = persist(anchors.shared_anchors(rows, w).where("low < high"), "substring-anchors")
     found = persist(anchors.stretches(rows, shared, w), "substring-stretches")
     rows, hot_ = found.where("not hot"), anchors.cool(found, w)
     if hot_ is None:
         spans = anchors.grouped(rows, _shards(window))
     else:
-        copies = hot_.copies.where("id > first").select("id", F.col("at").alias("a"), (F.col("at") + F.col("n") + window - 1).alias("b"))
+        copies = hot_.copies.where("id > first").select("id", "h", F.col("at").alias("a"), (F.col("at") + F.col("n") + window - 1).alias("b"))
         first = hot_.windows.groupBy("key", "key2").agg(F.min("id").alias("low"))
-        single = hot_.windows.join(first, ["key", "key2"]).where("id > low").select("id", F.col("at").alias("a"), (F.col("at") + window).alias("b"))
+        single = hot_.windows.join(first, ["key", "key2"]).where("id > low").select("id", "h", F.col("at").alias("a"), (F.col("at") + window).alias("b"))
         spans = anchors.grouped(rows.unionByName(hot_.few), _shards(window)).unionByName(copies).unionByName(single)
     out = persist(anchors.spans_by_document(spans), "substring-spans")
     drop(found)

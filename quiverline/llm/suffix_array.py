@@ -10,9 +10,12 @@ Windows that lie in one interval of common prefixes of at least a window's lengt
 are equal. Sorted lists of long passages of several shards can be merged by
 binary search (:func:`merge`); in the corpus query no window meets another shard.
 
-Edge cases: null and empty texts have no windows; rows with a null id are kept
-whole and take no part; rows that repeat are copies of each other; texts shorter
-than a window are kept whole; overlapping occurrences count.
+Edge cases: null and empty texts have no windows; rows with a null id count like
+any other; rows that repeat are copies of each other, and rows that share an id
+with another text each lose only what their own text repeats; texts shorter than a
+window are kept whole; overlapping occurrences count; there are no ties, as every
+occurrence goes; very long texts are hashed in pieces and read whole; other
+columns, whatever their names, play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -166,29 +169,29 @@ def _covered(hit: np.ndarray, window: int) -> Iterator[tuple[int, int]]:
 
 
 def _shards(window: int):
-    def solve(groups: list[list]) -> Iterator[tuple[int, int, int]]:
-        where: dict[bytes, list[tuple[int, int]]] = {}
+    def solve(groups: list[list]) -> Iterator[tuple[int, int, int, int]]:
+        where: dict[bytes, list[tuple[int, int, int]]] = {}
         for group in groups:
-            for doc, at, _, data in group:
-                where.setdefault(data, []).append((doc, at))
+            for doc, mark, at, _, data in group:
+                where.setdefault(data, []).append((doc, mark, at))
         parts = list(where)
         for part, hit in zip(parts, repeated(parts, window), strict=True):
             own = where[part]
             if len(own) > 1:  # the whole stretch occurs again
                 hit = np.ones(len(hit), bool)
             for a, b in _covered(hit, window):
-                for doc, at in own:
-                    yield doc, at + a, at + b
+                for doc, mark, at in own:
+                    yield doc, mark, at + a, at + b
 
-    def work(groups: Iterator[list]) -> Iterator[tuple[int, int, int]]:
+    def work(groups: Iterator[list]) -> Iterator[tuple[int, int, int, int]]:
         held, size = [], 0
         for group in groups:
-            if len(group) > 1 and all(x[3] == group[0][3] for x in group):  # copies of one stretch
-                for doc, at, _, data in group:
-                    yield doc, at, at + len(data)
+            if len(group) > 1 and all(x[4] == group[0][4] for x in group):  # copies of one stretch
+                for doc, mark, at, _, data in group:
+                    yield doc, mark, at, at + len(data)
                 continue
             held.append(group)
-            size += sum(len(x[3]) for x in group)
+            size += sum(len(x[4]) for x in group)
             if size >= SHARD:
                 yield from solve(held)
                 held, size = [], 0
@@ -199,18 +202,19 @@ def _shards(window: int):
 
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot: int = 4096, crowd: int = 20_000) -> DataFrame:
-    """Stored table ``id``, ``spans`` (array of byte ranges, which may overlap) of the documents that lose bytes."""
+    """Stored table ``id``, ``h`` (see ``anchors.row_key``), ``spans`` (array of byte ranges, which may overlap) of the rows that lose bytes."""
     w = windows(window, hot, crowd)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    first, second = anchors.row_key(id_col, text_col)
+    rows = docs.where(F.col(text_col).isNotNull()).select(first.alias("id"), second.alias("h"), F.col(text_col).alias("text"))
     shared = persist(anchors.shared_anchors(rows, w), "suffix-anchors")
     found = persist(anchors.stretches(rows, shared, w), "suffix-stretches")
     rows, hot_ = found.where("not hot"), anchors.cool(found, w)
     if hot_ is None:
         spans = anchors.grouped(rows, _shards(window))
     else:
-        copies = hot_.copies.select("id", F.col("at").alias("a"), (F.col("at") + F.col("n") + window - 1).alias("b"))
+        copies = hot_.copies.select("id", "h", F.col("at").alias("a"), (F.col("at") + F.col("n") + window - 1).alias("b"))
         often = hot_.windows.groupBy("key", "key2").agg(F.count("*").alias("times")).where("times > 1").drop("times")
-        single = hot_.windows.join(often, ["key", "key2"]).select("id", F.col("at").alias("a"), (F.col("at") + window).alias("b"))
+        single = hot_.windows.join(often, ["key", "key2"]).select("id", "h", F.col("at").alias("a"), (F.col("at") + window).alias("b"))
         spans = anchors.grouped(rows.unionByName(hot_.few), _shards(window)).unionByName(copies).unionByName(single)
     out = persist(anchors.spans_by_document(spans), "suffix-spans")
     drop(found)

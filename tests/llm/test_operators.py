@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quiverline.llm import decontaminate, htmltext, jaccard, langid, pii, quality, sentencepiece_codec, substring_dedup, suffix_array, warc
+from quiverline.llm import anchors, decontaminate, htmltext, jaccard, langid, pii, quality, sentencepiece_codec, substring_dedup, suffix_array, warc
 from quiverline.llm.queries import SENTENCEPIECE_MODEL
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, id string, spans string"
@@ -43,15 +43,15 @@ def got(df, *cols):
 @pytest.mark.parametrize("hot,crowd", [(4096, 10_000), (2, 10_000), (2, 1)])
 def test_substring(docs, hot, crowd):
     spans = substring_dedup.removed_spans(docs, hot=hot, crowd=crowd)
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(spans, "id", "left").select("id", substring_dedup.digest(F.col("text"), F.col("spans")).alias("d")).select("id", "d.*")
-    assert got(rows, "id", "n_words", "n_removed", "kept_sha256") == brute.substring(corpus())
+    rows = anchors.with_spans(docs, spans, "doc_id", "text").select("doc_id", substring_dedup.digest(F.col("text"), F.col("_spans")).alias("d")).select("doc_id", "d.*")
+    assert got(rows, "doc_id", "n_words", "n_removed", "kept_sha256") == brute.substring(corpus())
 
 
 @pytest.mark.parametrize("hot,crowd", [(4096, 20_000), (2, 20_000), (2, 1)])
 def test_suffix_array(docs, hot, crowd):
     spans = suffix_array.removed_spans(docs, hot=hot, crowd=crowd)
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(spans, "id", "left").select("id", suffix_array.digest(F.col("text"), F.col("spans")).alias("d")).select("id", "d.*")
-    assert got(rows, "id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeated_bytes(corpus())
+    rows = anchors.with_spans(docs, spans, "doc_id", "text").select("doc_id", suffix_array.digest(F.col("text"), F.col("_spans")).alias("d")).select("doc_id", "d.*")
+    assert got(rows, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeated_bytes(corpus())
 
 
 def short_texts():
@@ -72,7 +72,7 @@ def test_repeats_of_short_texts(spark):
     texts = short_texts()
     df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)  # one batch, in this order
     for operator, want in ((substring_dedup, brute.substring(texts)), (suffix_array, brute.repeated_bytes(texts))):
-        rows = df.withColumnRenamed("doc_id", "id").join(operator.removed_spans(df), "id", "left").select("id", operator.digest(F.col("text"), F.col("spans")).alias("d")).select("id", "d.*")
+        rows = anchors.with_spans(df, operator.removed_spans(df), "doc_id", "text").select("doc_id", operator.digest(F.col("text"), F.col("_spans")).alias("d")).select("doc_id", "d.*")
         assert {r[0]: tuple(r[1:]) for r in rows.collect()} == want
 
 
@@ -131,8 +131,40 @@ def test_repeated_rows_and_null_ids(spark):
     text = " ".join(f"v{i}" for i in range(60))
     df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text + " end")], "doc_id long, text string")
     assert sorted(map(tuple, jaccard.join(df).select("id", "component_id").collect()), key=str) == [(1, 1), (1, 1), (2, 1), (None, None)]
-    assert got(substring_dedup.removed_spans(df), "id").keys() == {2}
-    assert got(suffix_array.removed_spans(df), "id").keys() == {1, 2}
+
+
+@pytest.mark.parametrize("hot,crowd", [(4096, 10_000), (1, 1)])
+def test_spans_belong_to_rows(spark, hot, crowd):
+    """One id with two texts, repeated rows and null ids: each row loses what its own text repeats."""
+    rng = random.Random(4)
+    make = lambda n: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
+    a, b, c, d = make(60), make(80), make(70), make(50)
+    rows = [(1, a), (2, f"{make(5)} {a}"), (2, b), (3, c), (3, c), (None, d), (None, d), (4, f"{d} {make(9)}"), (None, a), (5, make(90)), (5, None), (None, None), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"id": F.lit("x"), "h": F.lit(1), "spans": F.lit(2)}).repartition(3)
+
+    def run(operator, **more):
+        out = anchors.with_spans(df, operator.removed_spans(df, hot=hot, crowd=crowd), "doc_id", "text")
+        return sorted((str(r["doc_id"]), r["text"] or "", *r["d"]) for r in out.select("doc_id", "text", operator.digest(F.col("text"), F.col("_spans")).alias("d")).collect())
+
+    want = {i: x for i, x in brute.repeated_bytes(list(enumerate(t for _, t in rows))).items()}
+    assert run(suffix_array) == sorted((str(i), t or "", *want[k]) for k, (i, t) in enumerate(rows))
+    got = run(substring_dedup)
+    assert {x[:4] for x in got if x[3]} == {("2", rows[1][1], 65, 60)} and len(got) == len(rows)
+
+
+@pytest.mark.parametrize("operator,length", [(substring_dedup, 13), (suffix_array, 200)])
+def test_long_texts_in_pieces(spark, operator, length, monkeypatch):
+    """Texts longer than what is hashed at once; the package on the workers is the test's own process only for kernels."""
+    monkeypatch.setattr(anchors, "PIECE", 700)
+    w = operator.windows()
+    rng = random.Random(6)
+    text = " ".join(str(rng.randrange(10**6)) for _ in range(3000)).encode()
+    for s, _, own, place, inside in w.pieces([b"short", text, b""]):
+        assert inside.sum() == (own >= 0).sum() and set(own.tolist()) <= {-1, 1}
+        whole = operator.windows().symbols([text])[0]
+        for i in np.flatnonzero(inside)[::50].tolist():
+            assert (s[i : i + length] == whole[place[i] : place[i] + length]).all()
+    assert sum(int(x[4].sum()) for x in w.pieces([text])) == len(whole) - length + 1
 
 
 def test_empty_tables(spark):
