@@ -6,37 +6,45 @@ lengths of what lies between and of the matches. Patterns use possessive
 quantifiers and look-behinds that keep the leftmost non-overlapping matches but
 make the matcher linear and free of recursion on long runs.
 
-The method on top: each distinct base value is a protected entity. Terms (words
-of letters) near an entity disclose it as far as their corpus co-occurrence
-says: with document counts ``n_c`` of the entity, ``n_t`` of the term and ``n_ct``
-of the term near the entity among ``n`` documents, the disclosed share is
+The method on top: each distinct base value is a protected entity, and terms are
+words of letters (with inner hyphens and apostrophes). A term is a candidate for
+an entity if it stands within ``REACH`` characters of it in at least
+``MIN_CONTEXTS`` different contexts. Its corpus co-occurrence says how far it
+discloses the entity: with the numbers of documents ``n_c`` that hold the entity,
+``n_t`` the term and ``n_ct`` both, anywhere, among ``n``, the disclosed share is
 ``PMI(c; t) / IC(c) = log(n_ct n / (n_c n_t)) / log(n / n_c)``, 1 if the term
-occurs only near that entity. Terms seen near the entity in at least
-``MIN_CONTEXTS`` different contexts are *removed* from ``REMOVE`` on, and
-*generalised* from ``GENERALISE`` on, wherever they stand near that entity.
-
-Edge cases: null texts are empty; rows with a null id keep their base spans and
-take no part in the corpus counts; repeated rows count as one document; equal
-contexts (copies) are one context; an empty corpus gives an empty result.
+occurs only in documents with that entity. Terms are *removed* from ``REMOVE`` on
+and *generalised* from ``GENERALISE`` on, wherever they stand in any document that
+holds the entity. As ``n_ct`` is at most ``n_c`` and ``n_t``, and ``n_t`` at least
+the number of documents with the term near any entity, pairs that can't reach the
+threshold go before texts are searched for the terms of the others.
+
+Documents are told apart by their whole texts: equal texts (copies, repeated rows)
+count as one document, whatever their ids, and get the same spans. Edge cases: null
+texts are empty; a null id changes nothing; ties of one start go by the order of
+``KINDS``; equal contexts are one context; very long texts and texts of many matches
+are read whole, in time not much above their length; other columns, whatever their
+names, play no part; an empty corpus gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quiverline.llm.common import persist
+from quiverline.llm.common import drop, persist
 
 #: Words of a context reach this many characters to either side of an entity.
 REACH = 60
 MIN_CONTEXTS = 3
 GENERALISE, REMOVE = 0.7, 0.9
-#: Rows up to which the table of disclosing terms is broadcast (under 20 MB).
+#: Rows up to which tables of terms are broadcast (under 20 MB).
 BROADCAST_ROWS = 100_000
 
 # The kinds in the order in which ties at one start are listed.
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
@@ -49,6 +57,51 @@ _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 
+#: A word; cut ends of a context are marked by U+0001, and what touches one isn't a whole word.
+WORD = r"(?<![\p{L}\x01])(?<![\p{L}\x01]['\u2019-])\p{L}++(?:['\u2019-]\p{L}++)*+(?!\x01)"
+#: Code points of a block, in which positions are looked up.
+BLOCK = 1024
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _fold(items: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """``struct<at, out>``: ``step`` gives from the place so far and an item the next place and an entry of ``out`` (of type ``kind``).
+
+    Items are taken in groups of about the root of their number, since appending to
+    an array copies it: so n items make n ** 1.5 copies of entries, not n ** 2.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def run(part: Column, at: Column) -> Column:
+        def one(acc: Column, x: Column) -> Column:
+            end, entry = step(acc["at"], x)
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(entry)).alias("out"))
+
+        return F.aggregate(part, F.struct(at.alias("at"), none.alias("out")), one)
+
+    def whole(all_: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(all_))).cast("int")
+        groups = F.when(F.size(all_) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / size).cast("int")), lambda g: F.slice(all_, g * size + 1, size))).otherwise(F.slice(F.array(all_), F.lit(1), F.lit(0)))
+        return F.aggregate(groups, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda acc, part: F.aggregate(F.array(run(part, acc["at"])), acc, lambda a, x: F.struct(x["at"].alias("at"), F.concat(a["out"], x["out"]).alias("out"))))
+
+    return _let(items, whole)
+
+
+def _blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _between(blocks: Column, a: Column, b: Column) -> Column:
+    """The code points from ``a`` to ``b`` of a text in blocks."""
+    first = F.floor(a / BLOCK).cast("int")
+    some = F.slice(blocks, first + 1, F.floor((b - 1) / BLOCK).cast("int") - first + 1)
+    return F.when(b > a, F.array_join(some, "").substr(a - first * BLOCK + 1, b - a)).otherwise(F.lit(""))
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -73,15 +126,14 @@ def _holds(kind: str, value: Column) -> Column:
 def located(text: Column, pattern: str) -> Column:
     """Array of ``struct<a, b, value>`` of a pattern's matches, in code points."""
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<a:int,b:int,value:string>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["end"] + F.length(x["0"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        a = at + F.length(x["0"])
         b = a + F.length(x["1"])
-        return F.struct(b.alias("end"), F.concat(acc["out"], F.array(F.struct(a.alias("a"), b.alias("b"), x["1"].alias("value")))).alias("out"))
+        return b, F.struct(a.alias("a"), b.alias("b"), x["1"].alias("value"))
 
     pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("0"), found.alias("1"))
-    return F.aggregate(pairs, start, step)["out"]
+    return _fold(pairs, "struct<a:int,b:int,value:string>", step)["out"]
 
 
 def base_spans(text: Column) -> Column:
@@ -96,72 +148,123 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[of(k) for k in PATTERNS]))
 
 
-def _terms(context: Column, start: Column) -> Column:
-    """Array of ``struct<term, a, b>`` of the words of four letters or more that lie whole in a context."""
-    return F.transform(located(context, r"(?<![^\s])\p{L}{4,}+(?=[.,;:!?]*+(?:\s|$))"), lambda m: F.struct(F.lower(m["value"]).alias("term"), (start + m["a"]).alias("a"), (start + m["b"]).alias("b")))
+def _replaced(text: Column, cuts: Column) -> Column:
+    """The text with ``cuts`` (sorted ``struct<a, b, by>``) put in; of what overlaps, the first one's ``by`` stands for all."""
+
+    def pieces(blocks: Column) -> Column:
+        def step(at: Column, c: Column) -> tuple[Column, Column]:
+            piece = F.when(c["a"] >= at, F.concat(_between(blocks, at, c["a"]), c["by"])).otherwise(F.lit(""))
+            return F.greatest(at, c["b"]), piece
+
+        return _let(_fold(cuts, "string", step), lambda x: F.concat(F.array_join(x["out"], ""), _between(blocks, x["at"], F.length(text))))
+
+    return F.when(F.size(cuts) == 0, text).otherwise(_let(_blocks(text), pieces))
+
+
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with blanks of the same length for base spans."""
+    cuts = F.transform(spans, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), F.lit("").alias("by")))
+
+    def pieces(blocks: Column) -> Column:
+        def step(at: Column, c: Column) -> tuple[Column, Column]:
+            blank = F.repeat(F.lit("\u0002"), F.greatest(c["b"] - F.greatest(c["a"], at), F.lit(0)))
+            return F.greatest(at, c["b"]), F.concat(_between(blocks, at, c["a"]), blank)
+
+        return _let(_fold(cuts, "string", step), lambda x: F.concat(F.array_join(x["out"], ""), _between(blocks, x["at"], F.length(text))))
+
+    return F.when(F.size(cuts) == 0, text).otherwise(_let(_blocks(text), pieces))
+
+
+def text_key(text: Column) -> Column:
+    """What names a whole text; null is empty."""
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
+def _contexts(text: Column, spans: Column) -> Column:
+    """Of each span the entity, a hash of its context and the terms that lie whole in that context."""
+
+    def of(blocks: Column, size: Column) -> Column:
+        def one(s: Column) -> Column:
+            low, high = F.greatest(s["a"] - REACH, F.lit(0)), F.least(s["b"] + REACH, size)
+            left, right = _between(blocks, low, s["a"]), _between(blocks, s["b"], high)
+            whole = F.concat(F.when(low > 0, "\u0001").otherwise(""), left, F.lit("\u0001 \u0001"), right, F.when(high < size, "\u0001").otherwise(""))
+            return F.struct(
+                F.concat(s["rank"].cast("string"), F.lit(":"), F.lower(s["value"])).alias("entity"),
+                F.xxhash64(left, right).alias("context"),
+                F.array_distinct(F.transform(F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)), F.lower)).alias("terms"),
+            )
+
+        return F.transform(spans, one)
+
+    return _let(F.length(text), lambda size: _let(_blocks(text), lambda blocks: of(blocks, size)))
 
 
 @dataclass(frozen=True)
 class Sanitiser:
-    """What :func:`analyse` found: ``base`` (id, spans) of all rows, ``extra`` (id, terms) of rows with disclosing terms."""
+    """What :func:`analyse` found: ``base`` (id, key, spans) of all rows, ``extra`` (key, terms) of texts with disclosing terms."""
 
     base: DataFrame
     extra: DataFrame
 
 
+_NO_TERMS = "array<struct<a:int,b:int,share:double>>"
+
+
 def analyse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Sanitiser:
-    """Base spans of every row, and the terms near them that disclose too much."""
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans = texts.withColumn("spans", base_spans(F.col("text")))
-
-    def context(s: Column) -> Column:
-        # A space stands for the cut ends only where the text ends there: words cut off at the reach don't count.
-        low = F.greatest(s["a"] - REACH, F.lit(0))
-        left = F.col("text").substr(low + 1, s["a"] - low)
-        left = F.when(low > 0, F.concat(F.lit("\u0001"), left)).otherwise(F.concat(F.lit(" "), left))
-        right = F.col("text").substr(s["b"] + 1, F.lit(REACH))
-        right = F.when(F.length(right) == REACH, F.concat(right, F.lit("\u0001"))).otherwise(right)
-        return F.struct(
-            F.concat(s["rank"].cast("string"), F.lit(":"), F.lower(s["value"])).alias("entity"),
-            F.xxhash64(left, right).alias("context"),
-            F.concat(_terms(left, low - 1), _terms(right, s["b"])).alias("terms"),
-        )
-
-    base = persist(spans.select("id", "spans", F.when(F.col("id").isNotNull() & (F.size("spans") > 0), F.transform("spans", context)).alias("near")), "pii-base")
-    near = base.where("near is not null").select("id", F.explode("near").alias("n")).select("id", "n.entity", "n.context", F.explode("n.terms").alias("t")).select("id", "entity", "context", "t.term", "t.a", "t.b")
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("id").alias("n_ct")).where(F.col("contexts") >= MIN_CONTEXTS)
-    pairs = persist(pairs, "pii-pairs")
-    disclosing = None
-    if not pairs.isEmpty():
-        n = texts.where("id is not null").select("id").distinct().count()
-        n_c = base.where("near is not null").select("id", F.explode("near.entity").alias("entity")).groupBy("entity").agg(F.countDistinct("id").alias("n_c"))
-        wanted = pairs.select("term").distinct()
-        if wanted.count() <= BROADCAST_ROWS:
-            wanted = F.broadcast(wanted)
-        words = F.array_distinct(F.transform(F.split(F.col("text"), r"[\s\p{Punct}]+", -1), F.lower))
-        n_t = texts.where("id is not null").select("id", F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term")  # an inner join: a semi join would move below the aggregate
-        scored = pairs.join(n_c, "entity").join(n_t, "term")
-        pmi = F.log(F.col("n_ct") * float(n) / (F.col("n_c") * F.greatest("n_t", "n_ct")))
-        share = F.when(F.col("n_c") < n, pmi / F.log(n / F.col("n_c"))).otherwise(F.lit(0.0))
-        disclosing = persist(scored.withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", "share"), "pii-terms")
-        few = disclosing.count() <= BROADCAST_ROWS
-        near = near.join(F.broadcast(disclosing) if few else disclosing, ["entity", "term"])
-    else:
-        near = near.withColumn("share", F.lit(1.0)).where(F.lit(False))
-    extra = near.groupBy("id", "a", "b").agg(F.max("share").alias("share")).groupBy("id").agg(F.collect_list(F.struct("a", "b", "share")).alias("terms"))
-    return Sanitiser(base.drop("near"), persist(extra, "pii-extra"))
+    """Base spans of every row, and where terms that disclose too much stand."""
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", text_key(F.col("text")))
+    near = F.when(F.size("spans") > 0, _contexts(F.col("text"), F.col("spans")))
+    base = persist(texts.withColumn("spans", base_spans(F.col("text"))).select("id", "key", "spans", near.alias("near")), "pii-base")
+    seen = base.where("near is not null").select("key", F.explode("near").alias("n")).select("key", "n.entity", "n.context", F.explode("n.terms").alias("term"))
+    pairs = seen.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= MIN_CONTEXTS)
+    pairs = persist(pairs.select("entity", "term"), "pii-pairs")
+    slim = base.drop("near")
+    none = Sanitiser(slim, docs.sparkSession.createDataFrame([], f"key string, terms {_NO_TERMS}"))
+    if pairs.isEmpty():
+        return none
+    n = float(base.select("key").distinct().count())
+    held = base.where("near is not null").select("key", F.explode("near.entity").alias("entity")).join(pairs.select("entity").distinct(), "entity", "left_semi").distinct()
+    n_c = held.groupBy("entity").agg(F.count("*").alias("n_c"))
+    around = seen.select("term", "key").join(pairs.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("m_t"))
+    best = GENERALISE * F.log(n / F.col("n_c")) <= F.log(n / F.greatest("n_c", "m_t")) + 1e-9
+    able = persist(pairs.join(n_c, "entity").where(F.col("n_c") < n).join(around, "term").where(best).select("entity", "term", "n_c"), "pii-able")
+    drop(pairs)
+    if able.isEmpty():
+        return none
+    wanted = _small(able.select("term").distinct())
+    # The words of all texts, of which only the wanted ones leave a task.
+    words = texts.select("key", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("term")).select("key", F.lower("term").alias("term"))
+    terms_of = persist(words.join(wanted, "term", "left_semi").distinct(), "pii-words")
+    n_t = terms_of.groupBy("term").agg(F.count("*").alias("n_t"))
+    met = persist(terms_of.join(held, "key").join(_small(able.select("entity", "term")), ["entity", "term"], "left_semi"), "pii-met")
+    n_ct = met.groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
+    pmi = F.log(F.col("n_ct") * n / (F.col("n_c") * F.col("n_t")))
+    scored = able.join(n_ct, ["entity", "term"]).join(n_t, "term").withColumn("share", pmi / F.log(n / F.col("n_c")))
+    disclosing = persist(scored.where(F.col("share") >= GENERALISE).select("entity", "term", "share"), "pii-terms")
+    own = met.join(_small(disclosing), ["entity", "term"]).groupBy("key", "term").agg(F.max("share").alias("share"))
+    own = persist(own.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("known")), "pii-own")
+    some = texts.select("key", "text").join(_small(own), "key")
+    places = F.transform(located(_masked(F.col("text"), base_spans(F.col("text"))), WORD), lambda m: F.struct(m["a"].alias("a"), m["b"].alias("b"), F.try_element_at(F.col("known"), F.lower(m["value"])).alias("share")))
+    extra = some.select("key", F.filter(places, lambda t: t["share"].isNotNull()).alias("terms")).groupBy("key").agg(F.first("terms").alias("terms"))
+    extra = persist(extra, "pii-extra")
+    for stored in (able, terms_of, met, disclosing, own):
+        drop(stored)
+    return Sanitiser(slim, extra)
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """``rows``, to be broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def found(s: Sanitiser) -> DataFrame:
-    """``id``, ``spans`` (base) and ``terms`` (the method's spans that touch no base span), a row for each input row."""
-    rows = s.base.join(s.extra, "id", "left")
-    return rows.withColumn("terms", clear_terms(F.col("spans"), F.col("terms")))
+    """``id``, ``key``, ``spans`` (base) and ``terms`` (the method's spans, which touch no base span), a row for each input row."""
+    return s.base.join(s.extra, "key", "left").withColumn("terms", known_terms(F.col("terms")))
 
 
-def clear_terms(spans: Column, terms: Column) -> Column:
-    """The terms that touch no base span, sorted; null is none."""
-    known = F.coalesce(terms, F.array().cast("array<struct<a:int,b:int,share:double>>"))
-    return F.array_sort(F.filter(known, lambda t: ~F.exists(spans, lambda b: (b["a"] < t["b"]) & (t["a"] < b["b"]))))
+def known_terms(terms: Column) -> Column:
+    """The terms; null is none."""
+    return F.coalesce(terms, F.array().cast(_NO_TERMS))
 
 
 def number(spans: Column, kind: str) -> Column:
@@ -175,13 +278,17 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["a"].cast("string"), s["b"].cast("string"))), ",")
 
 
+def _rank(term: Column) -> Column:
+    return F.when(term["share"] >= REMOVE, KINDS.index("removed")).otherwise(KINDS.index("generalised"))
+
+
 def all_spans(spans: Column, terms: Column) -> Column:
-    extra = F.transform(terms, lambda t: F.struct(t["a"].alias("a"), F.lit(KINDS.index("term")).alias("rank"), t["b"].alias("b"), F.lit("").alias("value")))
+    extra = F.transform(terms, lambda t: F.struct(t["a"].alias("a"), _rank(t).alias("rank"), t["b"].alias("b"), F.lit("").alias("value")))
     return F.array_sort(F.concat(spans, extra))
 
 
 def redacted(text: Column, spans: Column, terms: Column) -> Column:
-    """The text with base spans and generalised terms as ``[KIND]`` and removed terms left out.
+    """The text with base spans as ``[KIND]``, generalised terms as ``[TERM]`` and removed terms left out.
 
     Where base spans of several kinds overlap, what they cover together goes as one,
     under the kind of the first.
@@ -191,13 +298,4 @@ def redacted(text: Column, spans: Column, terms: Column) -> Column:
         F.transform(spans, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), F.get(marks, s["rank"]).alias("by"))),
         F.transform(terms, lambda t: F.struct(t["a"].alias("a"), t["b"].alias("b"), F.when(t["share"] >= REMOVE, "").otherwise("[TERM]").alias("by"))),
     ))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, c: Column) -> Column:
-        piece = F.when(c["a"] >= acc["at"], F.concat(text.substr(acc["at"] + 1, c["a"] - acc["at"]), c["by"])).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], c["b"]).alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
-
-    def end(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), text.substr(acc["at"] + 1, F.length(text)))
-
-    return F.when(F.size(cuts) == 0, text).otherwise(F.aggregate(cuts, start, step, end))
+    return _let(cuts, lambda all_: _replaced(text, all_))
