@@ -32,12 +32,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents linked by five-word shingles the one with the smallest id stays; documents without an id stay."""
+    """Of each component of documents linked by five-word shingles the one with the smallest id stays; documents without an id stay.
+
+    Rows that repeat an id with the same text come down to one; different texts under one id all stay if their id does.
+    """
     docs = _begin(spark, docs)
-    # Equal rows would come back once for each, so ids are told apart first.
     kept = jaccard.join(docs).where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("_key", pii.text_key(F.col("text"))).dropDuplicates(["doc_id", "_key"])
+    return known.unionByName(docs.where("doc_id is null").withColumn("_key", F.lit(""))).select(*COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +52,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind, terms that disclose it are generalised or removed; ``n_chars`` follows the text."""
     docs = _begin(spark, docs)
-    extra = pii.analyse(docs).extra.withColumnRenamed("id", "doc_id")
+    extra = pii.analyse(docs).extra.toDF("_key", "_terms")
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("_spans", pii.base_spans(text)).join(extra, "doc_id", "left").withColumn("_terms", pii.clear_terms(F.col("_spans"), F.col("terms")))
+    rows = docs.withColumns({"_spans": pii.base_spans(text), "_key": pii.text_key(F.col("text"))}).join(extra, "_key", "left").withColumn("_terms", pii.known_terms(F.col("_terms")))
     rows = rows.withColumn("text", F.when(F.col("text").isNotNull(), pii.redacted(F.col("text"), F.col("_spans"), F.col("_terms"))))
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
