@@ -228,7 +228,6 @@ def analyse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     around = seen.select("term", "key").join(pairs.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("m_t"))
     best = GENERALISE * F.log(n / F.col("n_c")) <= F.log(n / F.greatest("n_c", "m_t")) + 1e-9
     able = persist(pairs.join(n_c, "entity").where(F.col("n_c") < n).join(around, "term").where(best).select("entity", "term", "n_c"), "pii-able")
-    drop(pairs)
     if able.isEmpty():
         return none
     wanted = _small(able.select("term").distinct())
@@ -247,7 +246,7 @@ def analyse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     places = F.transform(located(_masked(F.col("text"), base_spans(F.col("text"))), WORD), lambda m: F.struct(m["a"].alias("a"), m["b"].alias("b"), F.try_element_at(F.col("known"), F.lower(m["value"])).alias("share")))
     extra = some.select("key", F.filter(places, lambda t: t["share"].isNotNull()).alias("terms")).groupBy("key").agg(F.first("terms").alias("terms"))
     extra = persist(extra, "pii-extra")
-    for stored in (able, terms_of, met, disclosing, own):
+    for stored in (pairs, able, terms_of, met, disclosing, own):
         drop(stored)
     return Sanitiser(slim, extra)
 
