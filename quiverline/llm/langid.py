@@ -6,27 +6,31 @@ spherical k-means centroids; a text gets the language of the centroid with the
 largest cosine. A text further from every centroid than nearly all training
 texts are from theirs is *rejected*.
 
-Edge cases: null or letterless texts get ``und``, score 0 and are rejected; an
-untrained model (empty table, no labels) answers ``und`` for all; ties go to the
-language that sorts first; texts of any length are read whole, in slices.
+Edge cases: null or letterless texts (numbers that look like letters are no letters)
+get ``und``, score 0 and are rejected; an untrained model (empty table, no labels)
+answers ``und`` for all; ties go to the language that sorts first; texts of any
+length are read whole, in slices; rows with a null id are predicted like any other
+and may be drawn for the fit; repeated rows are predicted each on its own and may
+fill several places of the sample; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from quiverline.llm.common import drop, persist
 
 BUCKETS = 1 << 13
 #: Bound on the labelled rows of each language that a model is fitted on.
 MAX_TRAIN_PER_LANG = 400
-#: Bound on the number of languages of a model: the most frequent ones.
-MAX_LANGS = 256
+#: Languages (distinct labels) beyond which a model (100 KB for each) can't be held; :func:`fit` raises rather than leave any out.
+MAX_LANGS = 2000
 CENTROIDS = 3
 #: Rejection: the cosine lies below this share of the lowest thousandth of the training texts' cosines.
 REJECT_SHARE, REJECT_QUANTILE = 0.5, 0.001
@@ -35,12 +39,11 @@ FULL_TRIGRAMS = 400
 #: Bytes of text that are turned into trigrams at once.
 SLICE = 1 << 20
 
-_LETTER = re.compile(r"[^\W\d_]")
 _KEEP = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def _buckets(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,49 +134,50 @@ def _cluster(rows: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", per_lang: int = MAX_TRAIN_PER_LANG, centroids: int = CENTROIDS) -> LanguageModel:
-    """Fit on at most ``per_lang`` rows of each of at most ``MAX_LANGS`` languages.
+    """Fit on at most ``per_lang`` rows of each language.
 
-    The sample is drawn by a hash of the key, spread over the whole table; rows
-    whose text is null or letterless and rows without a language don't count.
-    Trigram counts are made on the executors; the driver gets bounded sparse rows.
+    The sample is drawn by a hash of key and text, spread over the whole table: each
+    task passes on at most ``per_lang`` rows of a language. Rows whose text is null or
+    letterless and rows without a language don't count. Trigrams are counted and
+    languages clustered on the executors; the driver gets a count for each bucket, and
+    of each language its centroids and at most ``per_lang`` numbers.
     """
-    rows = labelled.select(F.col(key_col).alias("k"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("t is not null and l is not null")
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGS).collect()}
-    if not sizes:
-        return LanguageModel((), np.ones(BUCKETS, dtype=np.float32), np.zeros((BUCKETS, 0)), 0.0)
-    draw = (F.xxhash64("k").bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)).alias("u")
-    share = F.element_at(F.create_map(*[F.lit(x) for l, n in sizes.items() for x in (l, 1.3 * per_lang / n)]), F.col("l"))
-    drawn = rows.select("l", "t", draw).where(F.col("u") < share)
+    rows = labelled.select(F.col(key_col).alias("k"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("t is not null and l is not null").where(F.col("t").rlike(r"\p{L}"))
+    drawn = rows.select("l", "t", F.xxhash64(F.col("k").cast("string")).alias("u"), F.xxhash64("t").alias("v"))
+    place = F.row_number().over(Window.partitionBy("l").orderBy("u", "v"))
+    drawn = drawn.withColumn("place", place).where(F.col("place") <= per_lang)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, langs, u = (batch.column(n).to_pylist() for n in ("t", "l", "u"))
-            keep = [i for i, x in enumerate(texts) if has_letter(x)]
-            counts = trigram_counts([texts[i] for i in keep])
+            counts = trigram_counts(batch.column(1).to_pylist())
             at = [np.flatnonzero(row) for row in counts]
-            yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in keep], pa.string()), pa.array([u[i] for i in keep], pa.float64()), pa.array([x.astype(np.int32) for x in at], pa.list_(pa.int32())), pa.array([row[x] for row, x in zip(counts, at, strict=True)], pa.list_(pa.float32()))], names=["l", "u", "at", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.astype(np.int32) for x in at], pa.list_(pa.int32())), pa.array([row[x] for row, x in zip(counts, at, strict=True)], pa.list_(pa.float32()))], names=["l", "place", "at", "n"])
 
-    sparse = drawn.mapInArrow(count, "l string, u double, at array<int>, n array<float>").toPandas().sort_values(["l", "u"], kind="stable")
-    sparse = sparse.groupby("l", sort=True).head(per_lang)
-    if sparse.empty:
+    sparse = persist(drawn.select("l", "t", "place").mapInArrow(count, "l string, place int, at array<int>, n array<float>"), "langid-sample")
+    sizes = sparse.agg(F.count("*").alias("rows"), F.countDistinct("l").alias("langs")).first()
+    if sizes["langs"] > MAX_LANGS:
+        raise ValueError(f"{sizes['langs']} languages, more than {MAX_LANGS}")
+    if not sizes["rows"]:
         return LanguageModel((), np.ones(BUCKETS, dtype=np.float32), np.zeros((BUCKETS, 0)), 0.0)
     df = np.zeros(BUCKETS)
-    for at in sparse["at"]:
-        df[at] += 1
-    idf = (np.log((1 + len(sparse)) / (1 + df)) + 1).astype(np.float32)
-    langs: list[str] = []
-    centers: list[np.ndarray] = []
-    similar: list[np.ndarray] = []
-    for lang, own in sparse.groupby("l", sort=True):  # one language at a time is dense
+    for bucket, n in sparse.select(F.explode("at").alias("b")).groupBy("b").agg(F.count("*")).collect():  # at most BUCKETS rows
+        df[bucket] = n
+    idf = (np.log((1 + sizes["rows"]) / (1 + df)) + 1).astype(np.float32)
+
+    def cluster(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("place")
         dense = np.zeros((len(own), BUCKETS), dtype=np.float32)
         for i, (at, n) in enumerate(zip(own["at"], own["n"], strict=True)):
             dense[i, at] = n
         dense = _unit(dense * idf)
-        found = _cluster(dense, centroids)
-        langs += [lang] * len(found)
-        centers.append(found)
-        similar.append((dense @ found.T).max(axis=1))
-    threshold = REJECT_SHARE * float(np.quantile(np.concatenate(similar), REJECT_QUANTILE))
+        found = _cluster(dense, centroids).astype(np.float32)
+        return pd.DataFrame({"l": [own["l"].iloc[0]], "centers": [found.tobytes()], "similar": [(dense @ found.T).max(axis=1).astype(float)]})
+
+    fitted = sparse.groupBy("l").applyInPandas(cluster, "l string, centers binary, similar array<double>").toPandas().sort_values("l")
+    drop(sparse)
+    centers = [np.frombuffer(x, dtype=np.float32).reshape(-1, BUCKETS) for x in fitted["centers"]]
+    langs = [lang for lang, x in zip(fitted["l"], centers, strict=True) for _ in x]
+    threshold = REJECT_SHARE * float(np.quantile(np.concatenate(list(fitted["similar"])), REJECT_QUANTILE))
     return LanguageModel(tuple(langs), idf, np.concatenate(centers).T.astype(np.float32), threshold)
 
 

@@ -1,3 +1,4 @@
+import os
 import random
 
 import brute
@@ -253,6 +254,27 @@ def viterbi(codec, word):
     return best[-1][1]
 
 
+def test_language_sample_is_bounded(spark):
+    """Keys that repeat, nulls and many labels: no more than the stated rows of any language, and no language left out."""
+    rows = [(1, f"word{i} thing house", "en") for i in range(300)] + [(None, "der schön haus", "de")] * 50 + [(i, f"\u00bd \u00b2 \u2167 {i}", "fr") for i in range(5)] + [(i, None, "es") for i in range(3)] + [(i, f"lang{i} only", f"x{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"l": F.lit(1), "t": F.lit(2)}).repartition(6)
+    model = langid.fit(df, per_lang=20)
+    assert set(model.langs) == {"en", "de", *(f"x{i}" for i in range(300))}
+    assert model.predict(["\u00bd\u00b2\u2167 12"])[0] == ["und"] and not langid.has_letter("\u00bd \u2167") and langid.has_letter("\u00aa")
+
+
+def test_held_out_accuracy(spark):
+    """Languages of texts that the fit didn't see, and the rule that nothing else is an input."""
+    from quiverline.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    known = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    out = [r for r in queries.op9_langid(spark, sf).collect() if r["held_out"] and r["lang_pred"] != "und" and known[r["doc_id"]]]
+    assert len(out) > 200 and sum(r["lang_pred"] == known[r["doc_id"]] for r in out) >= 0.95 * len(out)
+
+
 def unigram_model(pieces, prefix, extra):
     """A model file of the unigram kind, written field by field."""
     import struct
