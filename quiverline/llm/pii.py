@@ -16,8 +16,9 @@ discloses the entity: with the numbers of documents ``n_c`` that hold the entity
 occurs only in documents with that entity. Terms are *removed* from ``REMOVE`` on
 and *generalised* from ``GENERALISE`` on, wherever they stand in any document that
 holds the entity. As ``n_ct`` is at most ``n_c`` and ``n_t``, and ``n_t`` at least
-the number of documents with the term near any entity, pairs that can't reach the
-threshold go before texts are searched for the terms of the others.
+the number of documents with the term near any entity, or in a part of all texts,
+pairs that can't reach the threshold go before all texts are searched for the terms
+of the others. Only such bounds come from a part: every count is over all texts.
 
 Documents are told apart by their whole texts: equal texts (copies, repeated rows)
 count as one document, whatever their ids, and get the same spans. Edge cases: null
@@ -225,15 +226,28 @@ def analyse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     n = float(base.select("key").distinct().count())
     held = base.where("near is not null").select("key", F.explode("near.entity").alias("entity")).join(pairs.select("entity").distinct(), "entity", "left_semi").distinct()
     n_c = held.groupBy("entity").agg(F.count("*").alias("n_c"))
-    around = seen.select("term", "key").join(pairs.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("m_t"))
-    best = GENERALISE * F.log(n / F.col("n_c")) <= F.log(n / F.greatest("n_c", "m_t")) + 1e-9
-    able = persist(pairs.join(n_c, "entity").where(F.col("n_c") < n).join(around, "term").where(best).select("entity", "term", "n_c"), "pii-able")
+    around = seen.select("term", "key").join(pairs.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("low"))
+
+    def able_by(counts: DataFrame, low: DataFrame) -> DataFrame:
+        """The pairs that can reach the threshold as far as ``low`` (term, low) bounds ``n_t`` from below."""
+        best = F.log(n / F.greatest("n_c", F.coalesce("low", F.lit(1))))
+        return counts.join(_small(low), "term", "left").where(GENERALISE * F.log(n / F.col("n_c")) <= best + 1e-9).select("entity", "term", "n_c")
+
+    def words(of: DataFrame, wanted: DataFrame) -> DataFrame:
+        """``key``, ``term``: which of the wanted terms each text holds; other words don't leave a task."""
+        every = of.select("key", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("term")).select("key", F.lower("term").alias("term"))
+        return every.join(_small(wanted), "term", "left_semi").distinct()
+
+    near_able = persist(able_by(pairs.join(n_c, "entity").where(F.col("n_c") < n), around), "pii-near")
+    if near_able.isEmpty():
+        return none
+    # Common words are most of the matches. What a sixteenth of the texts holds bounds their number from below, and
+    # few pairs with common words outlive that bound, so all texts are then searched for the terms of the others.
+    part = words(texts.where(F.col("key").startswith("0")), near_able.select("term").distinct())
+    able = persist(able_by(near_able, part.groupBy("term").agg(F.count("*").alias("low"))), "pii-able")
     if able.isEmpty():
         return none
-    wanted = _small(able.select("term").distinct())
-    # The words of all texts, of which only the wanted ones leave a task.
-    words = texts.select("key", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("term")).select("key", F.lower("term").alias("term"))
-    terms_of = persist(words.join(wanted, "term", "left_semi").distinct(), "pii-words")
+    terms_of = persist(words(texts, able.select("term").distinct()), "pii-words")
     n_t = terms_of.groupBy("term").agg(F.count("*").alias("n_t"))
     met = persist(terms_of.join(held, "key").join(_small(able.select("entity", "term")), ["entity", "term"], "left_semi"), "pii-met")
     n_ct = met.groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
@@ -246,7 +260,7 @@ def analyse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     places = F.transform(located(_masked(F.col("text"), base_spans(F.col("text"))), WORD), lambda m: F.struct(m["a"].alias("a"), m["b"].alias("b"), F.try_element_at(F.col("known"), F.lower(m["value"])).alias("share")))
     extra = some.select("key", F.filter(places, lambda t: t["share"].isNotNull()).alias("terms")).groupBy("key").agg(F.first("terms").alias("terms"))
     extra = persist(extra, "pii-extra")
-    for stored in (pairs, able, terms_of, met, disclosing, own):
+    for stored in (pairs, near_able, able, terms_of, met, disclosing, own):
         drop(stored)
     return Sanitiser(slim, extra)
 
