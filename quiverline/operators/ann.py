@@ -128,6 +128,15 @@ class _Graph:
         for i in range(len(ids)):
             self._insert(i)
 
+    @classmethod
+    def stored(cls, ids: np.ndarray, vectors: np.ndarray, links: list[list[list[int]]], entry: int, metric: Metric, config: AnnConfig) -> _Graph:
+        """A graph that was built before: the links of each node by layer."""
+        out = cls.__new__(cls)
+        out.ids, out.v, out.metric, out.config, out.entry = ids, vectors, metric, config, entry
+        out.links = [dict(enumerate(own)) for own in links]
+        out.levels = np.array([len(own) - 1 for own in links])
+        return out
+
     def _d(self, q: np.ndarray, at: list[int]) -> np.ndarray:
         return D.block_distances(self.metric, self.v[at], q[None, :])[:, 0]
 
@@ -166,7 +175,7 @@ class _Graph:
         for layer in range(min(level, top), -1, -1):
             found = self.beam(q, start, self.config.ef_construction, layer)
             most = self.config.m * (2 if layer == 0 else 1)
-            self.links[i][layer] = [j for _, j in found[: self.config.m]]
+            self.links[i][layer] = [j for _, j in found[:most]]
             for j in self.links[i][layer]:
                 own = self.links[j].setdefault(layer, [])
                 own.append(i)

@@ -31,6 +31,32 @@ class BitmapIndex:
         rows = df.select(F.col(id_col).cast("long").alias("id"), F.explode(pairs).alias("p")).select("id", "p.field", "p.kind", "p.value").where("value is not null")
         return cls(_bits(rows, "field", "kind", "value"), _bits(df.select(F.col(id_col).cast("long").alias("id"))))
 
+    def insert(self, df: DataFrame, id_col: str) -> BitmapIndex:
+        """The index with the rows of ``df`` as well, whose fields are all its other columns."""
+        more = BitmapIndex.build(df, id_col, [c for c in df.columns if c != id_col])
+        join = lambda a, b, *keys: a.unionByName(b).groupBy(*keys, "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+        return BitmapIndex(join(self.postings, more.postings, "field", "kind", "value"), join(self.everything, more.everything))
+
+    def delete(self, ids: DataFrame) -> BitmapIndex:
+        """The index without the ids of ``ids``; buckets that hold none of them stay as they are."""
+        gone = _bits(ids.select(F.col("id").cast("long").alias("id")))
+
+        def less(rows: DataFrame, *keys: str) -> DataFrame:
+            hit = rows.join(gone.select("bucket"), "bucket", "left_semi").groupBy(*keys, "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+            left = self.ids(hit, *keys).join(ids.select(F.col("id").cast("long").alias("id")), "id", "left_anti")
+            return rows.join(gone.select("bucket"), "bucket", "left_anti").select(*keys, "bucket", "bitmap").unionByName(_bits(left, *keys))
+
+        return BitmapIndex(less(self.postings, "field", "kind", "value"), less(self.everything))
+
+    def clear(self) -> BitmapIndex:
+        return BitmapIndex(self.postings.where(F.lit(False)), self.everything.where(F.lit(False)))
+
+    def __len__(self) -> int:
+        return self.size()
+
+    def is_empty(self) -> bool:
+        return self.everything.isEmpty()
+
     def size(self) -> int:
         return self.everything.agg(F.sum(F.bitmap_count("bitmap"))).first()[0] or 0
 
@@ -78,15 +104,15 @@ class BitmapIndex:
         return _bits(left)
 
     @staticmethod
-    def ids(bitmaps: DataFrame) -> DataFrame:
-        """The ids of bitmaps, read byte by byte."""
+    def ids(bitmaps: DataFrame, *keys: str) -> DataFrame:
+        """The ids of bitmaps, read byte by byte, with the columns ``keys``."""
         at = F.sequence(F.lit(0), F.length("bitmap") - 1)
         byte = F.conv(F.hex(F.substring("bitmap", F.col("i") + 1, F.lit(1))), 16, 10).cast("int")
-        rows = bitmaps.select("bucket", "bitmap", F.explode(at).alias("i")).select("bucket", "i", byte.alias("b")).where("b != 0")
+        rows = bitmaps.select(*keys, "bucket", "bitmap", F.explode(at).alias("i")).select(*keys, "bucket", "i", byte.alias("b")).where("b != 0")
         bits = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda x: F.expr("b").bitwiseAND(F.call_function("shiftleft", F.lit(1), x)) != 0)
-        at = rows.select("bucket", "i", F.explode(bits).alias("bit")).select("bucket", (F.col("i") * 8 + F.col("bit")).alias("pos"))
+        at = rows.select(*keys, "bucket", "i", F.explode(bits).alias("bit")).select(*keys, "bucket", (F.col("i") * 8 + F.col("bit")).alias("pos"))
         # Spark numbers buckets from 1 for ids from 1, and from 0 downwards for the others.
-        return at.select(F.when(F.col("bucket") > 0, (F.col("bucket") - 1) * 32768 + F.col("pos") + 1).otherwise(F.col("bucket") * 32768 - F.col("pos")).cast("long").alias("id"))
+        return at.select(*keys, F.when(F.col("bucket") > 0, (F.col("bucket") - 1) * 32768 + F.col("pos") + 1).otherwise(F.col("bucket") * 32768 - F.col("pos")).cast("long").alias("id"))
 
     @staticmethod
     def count(bitmaps: DataFrame) -> int:

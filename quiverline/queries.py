@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quiverline.functions import distance as D, payload as P
 from quiverline.operators.ann import GraphIndex, IvfIndex, LshIndex, recall_at_k, selectivity
 from quiverline.operators.bitmap import BitmapIndex
+from quiverline.operators.graph_store import StoredGraph
 from quiverline.operators.search import knn, knn_batch, knn_batch_expr, knn_post_filter
 from quiverline.plans.filters import Filter, field
 from quiverline.sources.collection import latest
+from quiverline.sources.files import shared_dir
 from quiverline.text import HashingEmbedder, embedded
 from quiverline.types import Metric
 
@@ -274,6 +277,32 @@ def _graph(spark, d):
     return _recall(spark, d, GraphIndex(_table(spark, d, "embeddings"), "euclidean", **OWN).search_batch(many, 10, ef=200))
 
 
+def _stored_graph(spark: SparkSession, d: str) -> StoredGraph:
+    """All vectors but every seventh, these added afterwards, and every fifth deleted."""
+    e = _table(spark, d, "embeddings").select(F.col(ID).alias("id"), F.col(VEC).alias("vector"), F.col("label").cast("string").alias("payload"))
+    index = StoredGraph.open_or_create(spark, f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}", len(e.first()["vector"]))
+    index.insert(e.where("id % 7 != 0"), payload_col="payload")
+    index.insert(e.where("id % 7 = 0"), payload_col="payload")
+    index.delete(e.where("id % 5 = 0").select("id"))
+    return index
+
+
+@_add("graph_stored", "SELECT vec_id AS id, label::VARCHAR AS payload FROM embeddings WHERE vec_id % 5 <> 0")
+def _graph_stored(spark, d):
+    return _stored_graph(spark, d).rows().select("id", "payload")
+
+
+@_add("graph_stored_search", "WITH q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = 1), e AS (SELECT vec_id AS id, list_distance(embedding::DOUBLE[], q.qv::DOUBLE[]) AS x FROM embeddings, q WHERE vec_id % 5 <> 0) SELECT id, round(x, 6) AS distance, rank FROM (SELECT id, x, row_number() OVER (ORDER BY x, id)::INT AS rank FROM e) WHERE rank <= 10")
+def _graph_stored_search(spark, d):
+    q = _table(spark, d, "embeddings").where("vec_id = 1").first()[VEC]
+    return _stored_graph(spark, d).search(list(q), 10, ef=4000).select("id", F.round("distance", 6).alias("distance"), "rank")
+
+
+_add("bitmap_changes", "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 <> 0")(
+    lambda spark, d: (i := BitmapIndex.build((o := _table(spark, d, "orders").select("o_orderkey", *FIELDS)).where("o_orderkey % 2 = 0"), "o_orderkey", FIELDS).insert(o.where("o_orderkey % 2 = 1"), "o_orderkey").delete(o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id")))).ids(i.query(field("o_orderstatus").eq("F")))
+)
+
+
 @_add("lsh_recall")
 def _lsh(spark, d):
     index, found = LshIndex(_table(spark, d, "embeddings"), metric="euclidean", **OWN), None

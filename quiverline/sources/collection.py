@@ -127,11 +127,13 @@ class Collection:
                 raise CollectionError(f"the collection's metric is {meta['metric']}, not {config.metric.value}")
             out = cls(spark, path, config, meta)
             last = out._log().agg(F.max("seq").alias("s"), F.max("id").alias("i")).first()
-            out.meta["next_seq"] = max(meta["next_seq"], (last["s"] or 0) + 1)
+            out.meta["next_seq"] = max(meta["next_seq"], meta.get("folded", 0) + 1, (last["s"] or 0) + 1)
             out.meta["next_id"] = max(meta["next_id"], (last["i"] if last["i"] is not None else 0) + 1)
             return out
         store.make()
         out = cls(spark, path, config, {"dimension": config.dimension, "metric": config.metric.value, "next_id": 1, "next_seq": 1, "snapshot": None})
+        if store.names("log") or any(x.startswith("snapshot-") for x in store.names()):
+            raise CollectionError(f"{path} holds data but no meta.json")
         out._save()
         return out
 
@@ -139,9 +141,10 @@ class Collection:
         self.store.write("meta.json", json.dumps(self.meta, indent=2))
 
     def _log(self) -> DataFrame:
-        if not self.store.names("log"):
-            return self.spark.createDataFrame([], ROWS)
-        return self.spark.read.schema(ROWS).option("recursiveFileLookup", "true").parquet(f"{self.path}/log")
+        """Committed batches; what the snapshot holds already is left out, should a flush have ended before it was removed."""
+        paths = [f"{self.path}/log/{x}" for x in self.store.names("log") if "_SUCCESS" in self.store.names(f"log/{x}")]
+        rows = self.spark.read.schema(ROWS).option("recursiveFileLookup", "true").parquet(*paths) if paths else self.spark.createDataFrame([], ROWS)
+        return rows.where(F.col("seq") > self.meta.get("folded", 0))
 
     def _all(self) -> DataFrame:
         rows = self._log()
@@ -203,8 +206,11 @@ class Collection:
         target = f"log/{'batch=' + name if name else f'seq={seq}'}"
         if self.store.exists(f"{target}/_SUCCESS"):
             return
-        if not isinstance(rows, DataFrame):
-            rows = self.spark.createDataFrame([(checked_id(r[0]), checked_vector(r[1], self.config.dimension), json.dumps(r[2] if len(r) > 2 else {})) for r in rows], "id long, vector array<float>, payload string")
+        if not isinstance(rows, DataFrame):  # of rows that repeat an id the last one counts, as in single inserts
+            by = {checked_id(r[0]): (checked_vector(r[1], self.config.dimension), json.dumps(self._checked(r[2] if len(r) > 2 else None))) for r in rows}
+            rows = self.spark.createDataFrame([(i, *x) for i, x in by.items()], "id long, vector array<float>, payload string")
+        elif twice := rows.groupBy("id").count().where("count > 1").first():  # a table has no order that could tell
+            raise DuplicateId(f"id {twice['id']} repeats in the batch")
         payload = F.col("payload") if "payload" in rows.columns else F.lit("{}")
         out = validated(rows, self.config.dimension).select(F.lit(seq).cast("long").alias("seq"), F.lit("I").alias("op"), F.col("id").cast("long").alias("id"), F.col("vector").cast("array<float>").alias("vector"), payload.alias("payload"))
         out.write.mode("overwrite").parquet(f"{self.path}/{target}")
@@ -236,7 +242,7 @@ class Collection:
         old = self.meta["snapshot"]
         new = f"snapshot-{int(old.split('-')[1]) + 1 if old else 1}"
         latest(self._all()).write.mode("overwrite").parquet(f"{self.path}/{new}")
-        self.meta["snapshot"] = new
+        self.meta |= {"snapshot": new, "folded": self.meta["next_seq"] - 1}
         self._save()
         self.store.delete("log")
         if old:
@@ -253,6 +259,10 @@ class AsyncCollection:
     def open_or_create(cls, spark: SparkSession, path: str, config: CollectionConfig) -> AsyncCollection:
         return cls(Collection.open_or_create(spark, path, config))
 
+    @classmethod
+    def from_sync(cls, inner: Collection) -> AsyncCollection:
+        return cls(inner)
+
     def __getattr__(self, name: str):
         if name not in ("insert", "insert_auto", "insert_batch", "update", "delete", "get", "flush", "sync", "is_empty"):
             raise AttributeError(name)
@@ -262,8 +272,10 @@ class AsyncCollection:
     def search(self, *a, **b) -> Future:
         return self._pool.submit(lambda: self.inner.search(*a, **b).collect())
 
-    def size(self) -> Future:
-        return self._pool.submit(len, self.inner)
+    def len(self) -> Future:
+        return self._pool.submit(self.inner.__len__)
+
+    size = len
 
 
 __all__ = ["AsyncCollection", "Collection", "CollectionConfig", "FlatIndex", "SyncMode", "latest", "validated"]
