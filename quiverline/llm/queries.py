@@ -62,9 +62,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
-    found = decontaminate.contamination(spark, docs, table(spark, sf_dir, "benchmark"))
-    rows = docs.select("doc_id", found.alias("f")).select("doc_id", "f.n_words", decontaminate.hits(F.col("f")).alias("n_hit"), "f.items")
-    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    rows = decontaminate.judged(spark, docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).withColumn("n_hit", decontaminate.n_hit(F.col("_spans")))
+    return rows.select("doc_id", F.col("_n_words").alias("n_words"), "n_hit", F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def language_model(docs: DataFrame) -> langid.LanguageModel:
@@ -94,5 +93,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_pii, op2_substring_dedup, op3_warc, op4_jaccard, op5_sentencepiece, op6_suffix_array, op7_quality, op8_decontaminate, op9_langid, op10_html)}
 
 
+#: DuckDB SQL of the operators that it can express on whole tables.
+_ARCHIVED = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS n, sha256(h) AS digest, min(page_id) OVER (PARTITION BY sha256(h)) AS one FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 100 AND page_id > one THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id > one THEN one END AS refers_to
+FROM d
+"""
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_CONTAMINATED = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[k : k + least(10, len(w)) - 1], ' ') AS t
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS k FROM i WHERE len(w) > 0)),
+places AS (SELECT doc_id, k, n, array_to_string(w[k : k + n - 1], ' ') AS t
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM d JOIN (SELECT DISTINCT n FROM windows) ON len(w) >= n)),
+hits AS (SELECT doc_id, k, n, item_id FROM places JOIN windows USING (n, t)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + n - 1)) AS p FROM (SELECT DISTINCT doc_id, k, n FROM hits)) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(listed, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": _ARCHIVED, "op8_decontaminate": _CONTAMINATED}

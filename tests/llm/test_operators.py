@@ -203,17 +203,35 @@ def test_pii_disclosure(spark):
     assert "Zebulon" not in text and "[EMAIL]" in text and "zeb@" not in text
 
 
-def test_decontamination(spark):
-    items = [(1, "Alpha beta gamma delta one two three four five six seven"), (2, "short item"), (3, None), (4, "..."), (5, "one")]
-    texts = [None, "", "x ALPHA, beta gamma delta one two three four five six y", "alpha beta gamma delta", "a short item! one", "beta gamma delta one two three four five six seven short", "é one"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = decontaminate.contamination(spark, df, spark.createDataFrame(items, "item_id long, text string"))
-    rows = df.select("doc_id", found.alias("f")).select("doc_id", "f.n_words", decontaminate.hits(F.col("f")), F.size("f.items"), F.sha2(F.array_join("f.items", ","), 256), F.size("f.spans") > 0)
-    assert {r[0]: tuple(r[1:]) for r in rows.collect()} == brute.contamination(list(enumerate(texts)), items)
-    decontaminate.BLOCK_BYTES, before = 1, decontaminate.BLOCK_BYTES
-    many = decontaminate.contamination(spark, df, spark.createDataFrame(items, "item_id long, text string"))
-    decontaminate.BLOCK_BYTES = before
-    assert {r[0]: r[1] for r in df.select("doc_id", F.size(many["items"])).collect()} == {k: v[2] for k, v in brute.contamination(list(enumerate(texts)), items).items()}
+def leaks(spark, df, items):
+    out = decontaminate.judged(spark, df, spark.createDataFrame(items, "item_id long, text string")).withColumn("n_hit", decontaminate.n_hit(F.col("_spans")))
+    return [tuple(r) for r in out.select("doc_id", "_n_words", "n_hit", F.size("_items"), F.sha2(F.array_join("_items", ","), 256), F.col("n_hit") > 0).collect()]
+
+
+@pytest.mark.parametrize("broadcast,bits", [(100_000, 1 << 24), (0, 64)])
+def test_decontamination(spark, broadcast, bits, monkeypatch):
+    """With the index broadcast, and with shuffle joins and a bit table so small that all its bits are set."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(decontaminate, "BITS", bits)
+    rng = random.Random(9)
+    make = lambda n: " ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(n))
+    items = [(1, "Alpha beta gamma delta one two three four five six seven"), (2, "short item"), (3, None), (4, "..."), (5, "one"), (6, make(40)), (7, make(12)), (8, "\u00e9 \u6f22\u5b57"), (9, "short item")]
+    texts = [None, "", "x ALPHA, beta gamma delta one two three four five six y", "alpha beta gamma delta", "a short item! one", "beta gamma delta one two three four five six seven short", "\u00e9 one", "\u00c9 \u00e9 \u6f22\u5b57."]
+    texts += [f"{make(30)} {' '.join(items[5][1].split()[a:b])} {make(9)}" for a, b in ((0, 9), (0, 10), (5, 30), (28, 40))] + [items[6][1] * 2, make(4000) + " " + items[6][1]]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"id": F.lit(1), "h": F.lit(2), "token": F.lit("x")}).repartition(3)
+    want = brute.contamination(rows, items)
+    assert {r[0]: r[1:] for r in leaks(spark, df, items)} == want and sum(x[4] for x in want.values()) >= 8
+
+
+def test_decontamination_of_odd_rows(spark):
+    """Null ids, one id with two texts, repeated rows, empty tables."""
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text), (1, "clean words only"), (None, f"a {text}"), (None, "clean"), (2, text), (2, text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((str(r[0]), r[1], r[2]) for r in leaks(spark, df, [(7, text), (None, "clean words")]))
+    assert out == sorted([("1", 10, 10), ("1", 3, 2), ("None", 11, 10), ("None", 1, 0), ("2", 10, 10), ("2", 10, 10)])
+    assert {r[2] for r in leaks(spark, df, [])} == {0} and leaks(spark, df.limit(0), [(7, text)]) == []
 
 
 def test_quality(docs):
