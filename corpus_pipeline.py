@@ -45,8 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
     docs = _begin(spark, docs)
-    found = decontaminate.contamination(spark, docs, table(spark, sf_dir, "benchmark"))
-    return docs.withColumn("_f", found).where(F.size("_f.spans") == 0).select(*COLUMNS)
+    return decontaminate.judged(spark, docs, table(spark, sf_dir, "benchmark")).where(F.size("_spans") == 0).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
