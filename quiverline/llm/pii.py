@@ -235,7 +235,7 @@ def analyse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def words(of: DataFrame, wanted: DataFrame) -> DataFrame:
         """``key``, ``term``: which of the wanted terms each text holds; other words don't leave a task."""
-        every = of.select("key", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("term")).select("key", F.lower("term").alias("term"))
+        every = of.select("key", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("term")).select("key", F.lower("term").alias("term"))
         return every.join(_small(wanted), "term", "left_semi").distinct()
 
     near_able = persist(able_by(pairs.join(n_c, "entity").where(F.col("n_c") < n), around), "pii-near")
