@@ -227,6 +227,7 @@ def analyse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     held = base.where("near is not null").select("key", F.explode("near.entity").alias("entity")).join(pairs.select("entity").distinct(), "entity", "left_semi").distinct()
     n_c = held.groupBy("entity").agg(F.count("*").alias("n_c"))
     around = seen.select("term", "key").join(pairs.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("low"))
+    around = persist(around, "pii-around")
 
     def able_by(counts: DataFrame, low: DataFrame) -> DataFrame:
         """The pairs that can reach the threshold as far as ``low`` (term, low) bounds ``n_t`` from below."""
@@ -244,7 +245,8 @@ def analyse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # Common words are most of the matches. What a sixteenth of the texts holds bounds their number from below, and
     # few pairs with common words outlive that bound, so all texts are then searched for the terms of the others.
     part = words(texts.where(F.col("key").startswith("0")), near_able.select("term").distinct())
-    able = persist(able_by(near_able, part.groupBy("term").agg(F.count("*").alias("low"))), "pii-able")
+    part = persist(part.groupBy("term").agg(F.count("*").alias("low")), "pii-part")
+    able = persist(able_by(near_able, part), "pii-able")
     if able.isEmpty():
         return none
     terms_of = persist(words(texts, able.select("term").distinct()), "pii-words")
@@ -260,7 +262,7 @@ def analyse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     places = F.transform(located(_masked(F.col("text"), base_spans(F.col("text"))), WORD), lambda m: F.struct(m["a"].alias("a"), m["b"].alias("b"), F.try_element_at(F.col("known"), F.lower(m["value"])).alias("share")))
     extra = some.select("key", F.filter(places, lambda t: t["share"].isNotNull()).alias("terms")).groupBy("key").agg(F.first("terms").alias("terms"))
     extra = persist(extra, "pii-extra")
-    for stored in (pairs, near_able, able, terms_of, met, disclosing, own):
+    for stored in (pairs, around, near_able, part, able, terms_of, met, disclosing, own):
         drop(stored)
     return Sanitiser(slim, extra)
 
