@@ -5,21 +5,31 @@ text that all pages share, text slots, optional groups and repeated groups. A
 page's own stream is folded first (equal neighbouring groups become a repeated
 one); then stream after stream is aligned with the wrapper, and mismatches
 are resolved: differing text into a slot, a group that one side lacks into an
-optional one, a run of equal groups against one into a repeated one. Wrappers
-are made in each task over all its pages and merged by host, so every page
-counts and a hot host costs each task one wrapper.
-
-Extraction parses a page against its host's wrapper. Text that the wrapper holds
-as fixed is the site's, not the article's; so is text in elements made for
-menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
-Of the rest, the article element (else the main one, else the element with most
-of the text) is the main text.
+optional one, a run of equal groups against one into a repeated one. Each group
+counts the pages that have it.
+
+The wrapper doesn't depend on the order or the partitioning of pages. Pages of one
+shape (the folded tags) are merged place by place in each task, which any order
+does alike. Shapes are then dealt into ``BRANCHES`` branches of their host by their
+hash, aligned in the order of their names within a branch, and the branches in
+theirs, so a hot host is merged by many tasks that hold one wrapper each.
+
+Extraction parses a page against its host's wrapper: the kids of an element are
+matched with those of the group that generates it. Text that the wrapper holds as
+fixed, in groups that ``SHARE`` of the pages have, is the site's and not the
+article's, unless it lies in an article element or all but a tenth of the page's
+text is fixed (copies of one page). So is text in elements made for menus, headers,
+footers, sidebars, notices, adverts, forms and reader comments. Of the rest, the
+article element (else the main one, else the element with most of the text) is the
+main text.
 
 Edge cases: null, empty and textless pages give an empty text; pages without an
-address share one wrapper; a host with fewer than ``LEAST_PAGES`` pages, or whose
-pages are all alike, has no fixed text; a block with some text of its own stays
-whole; unclosed and stray tags are read as browsers would, roughly; tags nest
-to any depth; pages of any length are read whole.
+address share one wrapper; a host with one page, or whose pages are all alike, has no
+fixed text; a text in whose place a single page has another is a slot; a block with
+some text of its own stays whole; rows that repeat, or share an id, are pages of their
+own; a null id stays null; other columns, whatever their names, play no part; unclosed
+and stray tags are read as browsers would, roughly; tags nest to any depth; pages of
+any length and elements with any number of kids are read whole.
 """
 
 from __future__ import annotations
@@ -27,23 +37,32 @@ from __future__ import annotations
 import html as _html
 import json
 import re
-from collections.abc import Iterator
-from difflib import SequenceMatcher
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Callable, Iterator
+from hashlib import blake2b
+from operator import add
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Pages of a host from which text that all of them share counts as the site's.
-LEAST_PAGES = 5
-#: Groups of an element that are aligned with a wrapper's, folded; more than this are compared by position.
-ALIGN = 400
+#: Share of a host's pages that have a group whose fixed text counts as the site's.
+SHARE = 0.9
+#: A page with more than this share of its text fixed is a copy of others, and that text no site's.
+COPIED = 0.9
+#: Parts that a host's shapes are dealt into for merging.
+BRANCHES = 64
+#: Characters of texts that a wrapper keeps; longer ones stand there by their hash.
+LONGEST = 40
+#: Bytes of pages, and number of wrappers, that a task gathers before it passes its wrappers on.
+HELD_BYTES, HELD_WRAPPERS = 16 << 20, 2000
 #: Bytes of all wrappers up to which they are broadcast.
 BROADCAST_BYTES = 16 << 20
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|svg|iframe|textarea|title|math|object|canvas|select|audio|video"
+RAW = "script|style|noscript|template|svg|iframe|textarea|title|canvas|select|audio|video"
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 DROP = frozenset("head nav aside footer form button dialog menu".split())
 _LISTS = ("ul", "ol", "dl", "table", "tbody", "thead")
@@ -132,32 +151,36 @@ def clean(text: str) -> str:
     return " ".join(_html.unescape(text).split())
 
 
-# A wrapper's group is [name, marks, optional, repeated, kids]; a text is a string, a slot None.
+# A wrapper's group is [name, marks, optional, repeated, pages that have it, kids]; a text is a string, a slot None.
+
+
+def _short(text: str) -> str:
+    return text if len(text) <= LONGEST else "\0" + blake2b(text.encode("utf-8", "replace"), digest_size=16).hexdigest()
 
 
 def fold(node: Node) -> list:
     """A page's stream as a wrapper of its own, equal neighbours folded into repeated groups."""
-    top = [node.name, list(node.marks), 0, 0, []]
+    top = [node.name, list(node.marks), 0, 0, 1, []]
     stack = [(top, iter(node.kids))]
     while True:
         own, rest = stack[-1]
-        kids = own[4]
+        kids = own[5]
         for kid in rest:
             if not isinstance(kid, str):
-                stack.append(([kid.name, list(kid.marks), 0, 0, []], iter(kid.kids)))
+                stack.append(([kid.name, list(kid.marks), 0, 0, 1, []], iter(kid.kids)))
                 break
             if text := clean(kid):
                 if kids and not isinstance(kids[-1], list):
                     kids[-1] = None
                 else:
-                    kids.append(text)
+                    kids.append(_short(text))
         else:
             stack.pop()
             if not stack:
                 return top
-            kids = stack[-1][0][4]
+            kids = stack[-1][0][5]
             if kids and isinstance(kids[-1], list) and kids[-1][0] == own[0] and kids[-1][1] == own[1]:
-                kids[-1] = align(kids[-1], own)
+                kids[-1] = align(kids[-1], own, max)
                 kids[-1][3] = 1
             else:
                 kids.append(own)
@@ -167,9 +190,43 @@ def _key(kid) -> tuple:
     return (kid[0], *kid[1]) if isinstance(kid, list) else ("#text",)
 
 
-def align(a: list, b: list) -> list:
-    """The wrapper of what either of two groups of one name generates."""
-    stack, back = [_group(a, b)], None
+def matches(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of ``a`` and ``b`` that go together, rising in both.
+
+    What both begin and end with, and between them the longest rising choice of places
+    where either has a key for the same time. Time ``n log n`` for sequences of any length.
+    """
+    most = min(len(a), len(b))
+    if a == b:
+        return [(i, i) for i in range(most)]
+    start = next((i for i in range(most) if a[i] != b[i]), most)
+    tail = next((i for i in range(most - start) if a[-1 - i] != b[-1 - i]), most - start)
+    out = [(i, i) for i in range(start)]
+    times: Counter = Counter()
+    places = {}
+    for j in range(start, len(b) - tail):
+        times[b[j]] += 1
+        places[b[j], times[b[j]]] = j
+    times.clear()
+    ends: list[int] = []  # the least last place in b of a choice of each length
+    last: list[tuple] = []  # and that choice, as a chain
+    for i in range(start, len(a) - tail):
+        times[a[i]] += 1
+        j = places.get((a[i], times[a[i]]))
+        if j is not None:
+            at = bisect_left(ends, j)
+            link = (i, j, last[at - 1] if at else None)
+            ends[at : at + 1], last[at : at + 1] = [j], [link]
+    link, middle = last[-1] if last else None, []
+    while link:
+        middle.append(link[:2])
+        link = link[2]
+    return out + middle[::-1] + [(len(a) - i, len(b) - i) for i in range(tail, 0, -1)]
+
+
+def align(a: list, b: list, pages: Callable[[int, int], int] = add) -> list:
+    """The wrapper of what either of two groups of one name generates; ``pages`` is ``max`` where both are of the same pages."""
+    stack, back = [_group(a, b, pages)], None
     while stack:  # the generators' calls of each other, at any depth
         try:
             stack.append(stack[-1].send(back))
@@ -180,55 +237,35 @@ def align(a: list, b: list) -> list:
     return back
 
 
-def _group(a: list, b: list):
-    return [a[0], a[1], a[2] | b[2], a[3] | b[3], (yield _align(a[4], b[4]))]
+def _group(a: list, b: list, pages):
+    return [a[0], a[1], a[2] | b[2], a[3] | b[3], pages(a[4], b[4]), (yield _align(a[5], b[5], pages))]
 
 
-def _pair(x, y):
-    return (yield _group(x, y)) if isinstance(x, list) else x if x == y else None
+def _pair(x, y, pages):
+    return (yield _group(x, y, pages)) if isinstance(x, list) else x if x == y else None
 
 
-def _pairs(a: list, b: list):
-    out = []
-    for x, y in zip(a, b, strict=True):
-        out.append((yield _pair(x, y)))
-    return out
-
-
-def _optional(kid):
-    return [*kid[:2], 1, *kid[3:]] if isinstance(kid, list) else None
+def _lone(out: list, kids: list):
+    """Kids that the other side lacks: optional groups and slots; neighbours of one kind become a repeated group."""
+    for kid in kids:
+        kid = [*kid[:2], 1, *kid[3:]] if isinstance(kid, list) else None
+        if out and _key(out[-1]) == _key(kid):
+            out[-1] = yield _pair(out[-1], kid, max)
+            if isinstance(out[-1], list):
+                out[-1][3] = 1
+        else:
+            out.append(kid)
 
 
-def _align(a: list, b: list):
-    left, right = [_key(x) for x in a], [_key(x) for x in b]
-    if left == right:
-        return (yield _pairs(a, b))
+def _align(a: list, b: list, pages):
     out: list = []
-
-    def lone(kids: list):
-        for kid in kids:
-            kid = _optional(kid)
-            if out and _key(out[-1]) == _key(kid):  # neighbours of one kind become a repeated group
-                out[-1] = yield _pair(out[-1], kid)
-                if isinstance(out[-1], list):
-                    out[-1][2:4] = [1, 1]
-            else:
-                out.append(kid)
-
-    if max(len(a), len(b)) > ALIGN:
-        same = 0
-        while same < min(len(a), len(b)) and left[same] == right[same]:
-            same += 1
-        out.extend((yield _pairs(a[:same], b[:same])))
-        yield lone(a[same:])
-        yield lone(b[same:])
-        return out
-    for op, i, j, k, m in SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
-        if op == "equal":
-            out.extend((yield _pairs(a[i:j], b[k:m])))
-        else:
-            yield lone(a[i:j])
-            yield lone(b[k:m])
+    i = j = 0
+    for k, m in [*matches([_key(x) for x in a], [_key(x) for x in b]), (len(a), len(b))]:
+        yield _lone(out, a[i:k])
+        yield _lone(out, b[j:m])
+        if k < len(a):
+            out.append((yield _pair(a[k], b[m], pages)))
+        i, j = k + 1, m + 1
     return out
 
 
@@ -251,14 +288,20 @@ class Wrapper:
         return cls(pages, _nested(flat))
 
 
+def shape(tree: list) -> str:
+    """The name of a folded page's tags; texts, whatever they say, are alike."""
+    steps = [x[:4] if isinstance(x, list) else 0 if x == 0 else 1 for x in _flat(tree)]
+    return blake2b(json.dumps(steps).encode(), digest_size=16).hexdigest()
+
+
 def _flat(tree: list) -> list:
     """A wrapper without nesting: a group's own values, its kids, then 0."""
-    out, stack = [tree[:4]], [iter(tree[4])]
+    out, stack = [tree[:5]], [iter(tree[5])]
     while stack:
         for kid in stack[-1]:
             if isinstance(kid, list):
-                out.append(kid[:4])
-                stack.append(iter(kid[4]))
+                out.append(kid[:5])
+                stack.append(iter(kid[5]))
                 break
             out.append(kid)
         else:
@@ -268,16 +311,16 @@ def _flat(tree: list) -> list:
 
 
 def _nested(flat: list) -> list:
-    stack: list = [[None, None, 0, 0, []]]
+    stack: list = [[None, None, 0, 0, 0, []]]
     for x in flat:
         if isinstance(x, list):
-            stack[-1][4].append(group := [*x, []])
+            stack[-1][5].append(group := [*x, []])
             stack.append(group)
         elif x == 0:
             stack.pop()
         else:
-            stack[-1][4].append(x)
-    return stack[0][4][0]
+            stack[-1][5].append(x)
+    return stack[0][5][0]
 
 
 def _has_slot(kids: list) -> bool:
@@ -287,29 +330,37 @@ def _has_slot(kids: list) -> bool:
             if k is None:
                 return True
             if isinstance(k, list):
-                todo.append(k[4])
+                todo.append(k[5])
     return False
 
 
-def _fixed(kids: list, into: set[tuple[int, str]], paths: dict[tuple[int, str], int]) -> None:
-    """Fixed texts by the number of their path; ``paths`` numbers a path by that of its parent (the root's is 0) and the last step."""
-    todo = [(kids, 0)]
-    while todo:
-        kids, path = todo.pop()
-        for kid in kids:
-            if isinstance(kid, str):
-                into.add((path, kid))
-            elif isinstance(kid, list) and not kid[2]:  # what some pages lack isn't shared by all
-                todo.append((kid[4], paths.setdefault((path, ".".join(_key(kid))), len(paths) + 1)))
-
-
 class Extractor:
     def __init__(self, wrapper: str | None):
         w = Wrapper.loads(wrapper) if wrapper else Wrapper()
-        self.fixed: set[tuple[int, str]] = set()
-        self.paths: dict[tuple[int, str], int] = {}
-        if w.tree and w.pages >= LEAST_PAGES and _has_slot(w.tree[4]):
-            _fixed(w.tree[4], self.fixed, self.paths)
+        self.root = w.tree if w.tree and w.pages > 1 and _has_slot(w.tree[5]) else None
+        self.least = SHARE * w.pages
+        self.keys: dict[int, list[tuple]] = {}  # of the kids of each group met
+
+    def _generators(self, kids: list, group: list | None) -> list:
+        """Of each kid of an element the group that generates it, if most pages have that, or whether it is fixed text."""
+        if group is None:
+            return [None] * len(kids)
+        if id(group) not in self.keys:
+            self.keys[id(group)] = [_key(x) for x in group[5]]
+        runs: list[tuple] = []
+        of: list[tuple[int, str | None]] = []
+        for kid in kids:
+            text = clean(kid) if isinstance(kid, str) else None
+            key = ("#text",) if text else (kid.name, *kid.marks) if text is None else None
+            if key and (not runs or runs[-1] != key):
+                runs.append(key)
+            of.append((len(runs) - 1 if key else -1, text))
+        at = dict(matches(runs, self.keys[id(group)]))
+        out = []
+        for run, text in of:
+            made = group[5][at[run]] if run in at else None
+            out.append(not text or made == _short(text) if text is not None else made if made and made[4] >= self.least else None)
+        return out
 
     def __call__(self, page: str | None) -> str:
         """The main text: a line for each block."""
@@ -320,25 +371,27 @@ class Extractor:
         spans: list[tuple[int, int]] = []  # of each block element the range of its blocks
         held: list[str] = []
         own_text = False  # whether the block has text that isn't the site's
+        site: list[bool] = []  # of each block whether it has none
 
         def flush() -> None:
             nonlocal own_text
-            if own_text and (text := clean("".join(held))):
+            if text := clean("".join(held)):
                 blocks.append(text)
+                site.append(not own_text)
             held.clear()
             own_text = False
 
         articles: list[tuple[int, int]] = []
         mains: list[tuple[int, int]] = []
-        # An open element: its kids that are left, its path's number (-1: not in the wrapper), whether it is a
-        # block, in an article or main one, where its blocks start, and the list that its range goes to.
-        stack = [(iter(root.kids), 0, False, False, 0, None)]
+        # An open element: its kids that are left, each with what generates it, whether it is a block, in an article
+        # or main one, in an article, where its blocks start, and the list that its range goes to.
+        stack = [(zip(root.kids, self._generators(root.kids, self.root)), False, False, False, 0, None)]
         while stack:
-            rest, path, block, within, start, into = stack[-1]
-            for kid in rest:
+            rest, block, within, article, start, into = stack[-1]
+            for kid, made in rest:
                 if isinstance(kid, str):
                     held.append(kid)
-                    own_text = own_text or not kid.isspace() and (not self.fixed or (path, clean(kid)) not in self.fixed)
+                    own_text = own_text or not kid.isspace() and (article or not made)
                     continue
                 name, marks = kid.name, set(kid.marks)
                 if name in ("br", "hr", "wbr"):
@@ -356,8 +409,7 @@ class Extractor:
                     chosen = articles
                 elif name == "main" or "main" in marks and name == "div":
                     chosen = mains
-                step = self.paths.get((path, ".".join((name, *kid.marks))), -1)
-                stack.append((iter(kid.kids), step, name in BLOCK, within or own, len(blocks), chosen))
+                stack.append((zip(kid.kids, self._generators(kid.kids, made)), name in BLOCK, within or own, article or chosen is articles, len(blocks), chosen))
                 break
             else:
                 stack.pop()
@@ -367,6 +419,12 @@ class Extractor:
                     if into is not None:
                         into.append((start, len(blocks)))
         flush()
+        if sum(len(x) for x, gone in zip(blocks, site, strict=True) if gone) <= COPIED * sum(map(len, blocks)):
+            left = [0]  # blocks that stay before each
+            for gone in site:
+                left.append(left[-1] + (not gone))
+            blocks = [x for x, gone in zip(blocks, site, strict=True) if not gone]
+            articles, mains, spans = ([(left[a], left[b]) for a, b in some] for some in (articles, mains, spans))
         for some in (articles, mains):
             chosen, end = [], 0
             for a, b in sorted(some):
@@ -390,31 +448,64 @@ def host_of(url: Column) -> Column:
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host``, ``pages``, ``wrapper``: aligned over all pages, in each task and then by host."""
+    """``host``, ``pages``, ``wrapper``: of one shape in each task, then of a host's branches, then of hosts."""
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[str, Wrapper] = {}
+    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[tuple[str, str], Wrapper] = {}
+        held = 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array([w.dumps() for w in own.values()], pa.string())], names=["host", "wrapper"])
+            return pa.RecordBatch.from_arrays([pa.array([h for h, _ in own], pa.string()), pa.array([s for _, s in own], pa.string()), pa.array([w.dumps() for w in own.values()], pa.string())], names=["host", "shape", "wrapper"])
 
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own.setdefault(host, Wrapper()).add(fold(parse(page)))
-                if len(own) >= 2000:  # many hosts: pass on what there is
+                tree = fold(parse(page))
+                key = host, shape(tree)
+                if key not in own:
+                    own[key] = Wrapper()
+                    held += len(page)
+                own[key].add(tree)
+                if held > HELD_BYTES or len(own) >= HELD_WRAPPERS:  # pass on what there is
                     yield out()
                     own.clear()
+                    held = 0
         yield out()
 
+    def branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in the order of host, branch and shape; one branch and one shape are held."""
+        at: tuple[str, int] | None = None
+        name, whole, same = "", Wrapper(), Wrapper()
+
+        def out() -> pa.RecordBatch:
+            whole.add(same.tree, same.pages)
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.string()), pa.array([at[1]], pa.int32()), pa.array([whole.dumps()], pa.string())], names=["host", "branch", "wrapper"])
+
+        for batch in batches:
+            for host, branch, own, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at is not None and (at != (host, branch) or name != own):
+                    if at != (host, branch):
+                        yield out()
+                        whole = Wrapper()
+                    else:
+                        whole.add(same.tree, same.pages)
+                    same = Wrapper()
+                at, name = (host, branch), own
+                w = Wrapper.loads(text)
+                same.add(w.tree, w.pages)
+        if at is not None:
+            yield out()
+
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         total = Wrapper()
-        for text in rows["wrapper"]:
+        for text in rows.sort_values("branch")["wrapper"]:
             w = Wrapper.loads(text)
             total.add(w.tree, w.pages)
         return pd.DataFrame({"host": [rows["host"].iloc[0]], "pages": [total.pages], "wrapper": [total.dumps()]})
 
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).where("html is not null and html != ''")
-    return rows.mapInArrow(partial, "host string, wrapper string").groupBy("host").applyInPandas(merge, "host string, pages long, wrapper string")
+    known = rows.mapInArrow(shapes, "host string, shape string, wrapper string")
+    dealt = known.select("host", F.pmod(F.xxhash64("shape"), F.lit(BRANCHES)).cast("int").alias("branch"), "shape", "wrapper").repartition("host", "branch").sortWithinPartitions("host", "branch", "shape")
+    return dealt.mapInArrow(branches, "host string, branch int, wrapper string").groupBy("host").applyInPandas(merge, "host string, pages long, wrapper string")
 
 
 def extract(pages: DataFrame, known: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -409,3 +409,110 @@ def test_html_deep():
         own.add(w.tree, w.pages)
     assert htmltext.Extractor(own.dumps())(page.replace("{i}", "9")) == "text 9"
     assert htmltext.Extractor(None)("<ul>" + "<b>" * 20_000 + "</i><li></li>" * 20_000 + "end") == "end"
+
+
+def generates(group, node):
+    """Whether a wrapper's group generates an element, by trying all ways."""
+    kids = [(c and htmltext._short(c)) if isinstance(c, str) else c for c in (htmltext.clean(k) if isinstance(k, str) else k for k in node.kids) if c != ""]
+    at = {0}
+    for made in group[5]:
+        if not isinstance(made, list):
+            step = {i + 1 for i in at if i < len(kids) and isinstance(kids[i], str) and made in (None, kids[i])}
+            at = step | (at if made is None else set())
+            continue
+        found, todo = set(), set(at)
+        while todo:
+            step = {i + 1 for i in todo if i < len(kids) and not isinstance(kids[i], str) and (kids[i].name, list(kids[i].marks)) == (made[0], made[1]) and generates(made, kids[i])}
+            todo = step - found if made[3] else set()
+            found |= step
+        at = found | (at if made[2] else set())
+    return len(kids) in at
+
+
+def random_page(rng, depth=3):
+    def kids(d):
+        out = []
+        for _ in range(rng.randrange(5)):
+            if d == 0 or rng.random() < 0.3:
+                out.append(rng.choice(["one", "two", "long text " * 9, str(rng.random())]))
+            else:
+                name = rng.choice(["div", "span", "b", "section class=x"])
+                out.append(f"<{name}>{kids(d - 1)}</{name.split()[0]}>")
+        return "".join(out)
+
+    return kids(depth)
+
+
+def test_wrapper_generates_its_pages():
+    """Union-free expressions: what a wrapper was made of, it generates; and pages of one shape merge alike in any order."""
+    rng = random.Random(11)
+    for _ in range(60):
+        pages = [htmltext.parse(random_page(rng)) for _ in range(rng.randrange(1, 9))]
+        own = htmltext.Wrapper()
+        for page in pages:
+            own.add(htmltext.fold(page))
+        own = htmltext.Wrapper.loads(own.dumps())
+        assert own.pages == len(pages) and all(generates(own.tree, page) for page in pages)
+    pages = [f"<body><p>{rng.choice('ab')}</p><p>x</p><b>{rng.choice('ab')}</b></body>" for _ in range(9)]
+    made = set()
+    for _ in range(20):
+        rng.shuffle(pages)
+        own = htmltext.Wrapper()
+        for page in pages:
+            own.add(htmltext.fold(htmltext.parse(page)))
+        made.add(own.dumps())
+    assert len(made) == 1
+
+
+def test_matches():
+    """Rising, equal places; all that the longest common start and end hold; long unlike sequences take no longer."""
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(9))] for _ in range(2))
+        out = htmltext.matches(a, b)
+        assert all(a[i] == b[j] for i, j in out) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(out, out[1:]))
+        if sorted(set(a)) == sorted(a) and sorted(set(b)) == sorted(b):  # no key twice: the longest common subsequence
+            best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+            assert len(out) == best[-1][-1]
+    a, b = [str(rng.randrange(50)) for _ in range(100_000)], [str(rng.randrange(50)) for _ in range(100_000)]
+    assert htmltext.matches(a, b)
+
+
+def test_html_any_order(spark):
+    """One result for any order and partitioning; one odd page or over 400 unlike neighbours don't undo a host's wrapper."""
+    rng = random.Random(2)
+    site = "<div><i>Our shop sells</i><h2>Shared line</h2></div>"
+    rows = []
+    for i in range(60):
+        unlike = "".join(f"<h3>head {i} {j}</h3><p>para {i} {j}</p>" for j in range(300 if i == 7 else rng.randrange(1, 4)))
+        extra = rng.choice(["", "<div><b>extra</b></div>", f"<section>sec {i}</section>", "<ul><li>a<li>b</ul>"])
+        rows.append((i, "http://a.org/x", f"<html><body>{site}{extra}<div>{unlike}</div></body></html>", 1))
+    rows += [(100, "http://a.org/", "plain error", 1), (101, "http://b.org/", "<p>only</p>", 1), (None, "http://b.org/", None, 1)]
+    seen = set()
+    for parts in (1, 50):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "page_id long, url string, html string, host int").withColumns({"shape": F.lit(1), "wrapper": F.lit(2)}).repartition(parts)
+        known = htmltext.wrappers(df)
+        out = {r["id"]: r["text"] for r in htmltext.extract(df, known).collect()}
+        seen.add((tuple(sorted(map(tuple, known.collect()))), tuple(sorted(out.items(), key=str))))
+    assert len(seen) == 1
+    assert not any("Shared line" in t or "Our shop" in t for t in out.values()) and all(f"para {i} 0" in out[i] for i in range(60))
+    assert out[7].count("para") == 300 and out[100] == "plain error" and out[101] == "only" and out[None] == ""
+
+
+def test_html_shared_text():
+    """What all pages share stays in an article, and in copies of one page; maths and objects are text."""
+
+    def extractor(pages):
+        own = htmltext.Wrapper()
+        for page in pages:
+            own.add(htmltext.fold(htmltext.parse(page)))
+        return htmltext.Extractor(own.dumps())
+
+    pages = [f"<body><div>Site</div><article><p>text {i}</p><p>All rights reserved.</p><math>x = {i}</math></article></body>" for i in range(9)]
+    assert extractor(pages)(pages[3]) == "text 3\nAll rights reserved.\nx = 3"
+    copies = [f"<body><p>{'a long paragraph ' * 9}</p><p>{i}</p></body>" for i in range(3)]
+    assert extractor(copies)(copies[1]) == ("a long paragraph " * 9).strip() + "\n1"
