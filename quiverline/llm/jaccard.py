@@ -47,8 +47,8 @@ FAMILY = 20_000
 BLOCK, BLOCK_TOKENS = 512, 1 << 20
 #: Ids of sets up to which they are broadcast (under 10 MB) to fetch their texts.
 BROADCAST_ROWS = 200_000
-#: Sets with frequent tokens up to which their frequent tokens are broadcast (about 20 MB).
-OFTEN_ROWS = 20_000
+#: Sets with frequent tokens, and these tokens, up to which they are broadcast (at most 35 MB).
+OFTEN_ROWS, OFTEN_TOKENS = 20_000, 1 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -290,7 +290,8 @@ def links(docs: DataFrame, sets: DataFrame, size: int = SHINGLE, percent: int =
 def _with_often(met: DataFrame, often: DataFrame) -> DataFrame:
     """``met`` with the common frequent tokens before the last token seen in common counted in ``c``."""
     own = persist(often.groupBy("id").agg(F.collect_list(F.struct("token", "pos")).alias("t")), "jaccard-often-of")
-    side = F.broadcast(own) if own.count() <= OFTEN_ROWS else own
+    held = own.agg(F.count("*").alias("rows"), F.sum(F.size("t")).alias("tokens")).first()
+    side = F.broadcast(own) if held["rows"] <= OFTEN_ROWS and (held["tokens"] or 0) <= OFTEN_TOKENS else own
     both = met.join(side.toDF("a", "x"), "a", "left").join(side.toDF("b", "y"), "b", "left")
 
     def before(tokens: str, last: str):
