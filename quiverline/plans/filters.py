@@ -121,6 +121,10 @@ def _number(value: Any) -> bool:
     return isinstance(value, int | float) and not isinstance(value, bool)
 
 
+#: Types that compare with a number; ``typeof`` is folded, so tests of it leave the plan.
+_NUMERIC = "^(tinyint|smallint|int|bigint|float|double|decimal)"
+
+
 def _typed(f: Filter, c: Column) -> Column:
     if f.op == "eq":
         return c.eqNullSafe(F.lit(f.value))
@@ -129,12 +133,13 @@ def _typed(f: Filter, c: Column) -> Column:
     if f.op == "in":
         return c.isNotNull() & c.isin(*f.value) if f.value else F.lit(False)
     if f.op == "contains":
-        return c.isNotNull() & F.contains(c, F.lit(str(f.value)))
+        return (F.typeof(c) == "string") & c.isNotNull() & F.contains(c, F.lit(str(f.value)))
     if f.op == "exists":
         return c.isNotNull()
     if not _number(f.value):
         return F.lit(False)
-    return c.isNotNull() & _compare(f.op, c, F.lit(f.value))
+    hit = F.typeof(c).rlike(_NUMERIC) & c.isNotNull() & _compare(f.op, c, F.lit(f.value))
+    return hit & (c <= F.lit(float("inf"))) if f.op in ("gt", "gte") else hit  # NaN sorts above all numbers
 
 
 def _equal(p: Column, key: str, value: Any) -> Column:

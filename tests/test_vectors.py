@@ -147,3 +147,12 @@ def test_recall_of_defaults(spark, tmp_path, name):
     spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     recall = [r["recall"] for r in queries.queries()[name](spark, str(tmp_path)).collect()]
     assert len(recall) == 20 and sum(recall) / 20 >= 0.9
+
+
+def test_filters_of_plain_columns_mind_the_type(spark):
+    """Only strings contain; only numbers have an order, and NaN has none."""
+    df = spark.createDataFrame([(1, "b12", 2.0, float("nan")), (12, None, float("inf"), 3.0)], "i long, s string, d double, n double")
+    cases = {"i": (field("i").contains("1"), []), "s": (field("s").contains("12"), [1]), "d": (field("d").gt(1), [1, 12]), "n": (field("n").gt(1), [12]), "n2": (field("n").gte(3), [12]), "n3": (field("n").lt(9), [12]), "s2": (field("s").gt(1), []), "not": (~field("n").gt(1), [1])}
+    for name, (f, want) in cases.items():
+        assert sorted(r["i"] for r in df.where(f.column()).collect()) == want, name
+    assert "typeof" not in df.where(field("d").gt(1).column())._jdf.queryExecution().optimizedPlan().toString()
