@@ -127,7 +127,7 @@ def judge(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     """
     voted = rows.withColumn("votes", votes(rows))
     counts = {r["votes"]: r["n"] for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()}  # at most 3 ** rules rows
-    good = label_model(counts)
-    posterior = F.element_at(F.create_map(*[F.lit(x) for kv in sorted(good.items()) for x in kv]), F.col("votes")) if good else F.lit(None).cast("double")
+    good = rows.sparkSession.createDataFrame(sorted(label_model(counts).items()), "votes string, p_good double")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return voted.withColumn("p_good", posterior).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
+    voted = voted.drop("p_good").join(F.broadcast(good), "votes", "left")  # a row for each pattern
+    return voted.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
