@@ -10,12 +10,13 @@ Edge cases: null or letterless texts (numbers that look like letters are no lett
 get ``und``, score 0 and are rejected; an untrained model (empty table, no labels)
 answers ``und`` for all; ties go to the language that sorts first; texts of any
 length are read whole, in slices; rows with a null id are predicted like any other
-and may be drawn for the fit; repeated rows are predicted each on its own and may
-fill several places of the sample; other columns, whatever their names, play no part.
+and may be drawn for the fit; repeated rows are predicted each on its own and fill
+one place of the sample; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +39,10 @@ REJECT_SHARE, REJECT_QUANTILE = 0.5, 0.001
 FULL_TRIGRAMS = 400
 #: Bytes of text that are turned into trigrams at once.
 SLICE = 1 << 20
+#: Rows of the draw that a task takes up before it cuts them.
+CUT_ROWS = 100_000
 
+_DRAWN = pa.schema([("l", pa.string()), ("u", pa.int64()), ("v", pa.int64())])
 _KEEP = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
@@ -133,19 +137,57 @@ def _cluster(rows: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     return centers
 
 
+def _first(per_lang: int):
+    """For ``mapInArrow``: the first ``per_lang`` different ``(u, v)`` of each language, in bounded memory."""
+
+    def cut(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.drop_duplicates().sort_values(["u", "v"]).groupby("l", sort=False).head(per_lang)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, new, size = pd.DataFrame({"l": pd.Series(dtype=str), "u": pd.Series(dtype="int64"), "v": pd.Series(dtype="int64")}), [], 0
+        for batch in batches:
+            new.append(batch.to_pandas())
+            size += batch.num_rows
+            if size > max(len(held), CUT_ROWS):
+                held, new, size = cut(pd.concat([held, *new])), [], 0
+        held = cut(pd.concat([held, *new]))
+        if len(held):
+            yield pa.RecordBatch.from_pandas(held, schema=_DRAWN, preserve_index=False)
+
+    return run
+
+
+def draw(rows: DataFrame, per_lang: int) -> DataFrame:
+    """``l, u, v, place`` of the at most ``per_lang`` first rows of each language ``l`` by ``(u, v)``; rows that agree in all three count once.
+
+    Three rounds, none of which meets all rows of a language: each task of the scan
+    cuts its own, a task for each root of their number cuts what hashes to it, and the
+    last round sorts what those left, so its share grows with the root of the tasks.
+    """
+    tasks = rows.rdd.getNumPartitions()
+    schema = "l string, u long, v long"
+    cut = rows.mapInArrow(_first(per_lang), schema).repartition(math.isqrt(max(tasks - 1, 0)) + 1, "u", "v").mapInArrow(_first(per_lang), schema)
+    place = F.row_number().over(Window.partitionBy("l").orderBy("u", "v"))
+    return cut.withColumn("place", place).where(F.col("place") <= per_lang)
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", per_lang: int = MAX_TRAIN_PER_LANG, centroids: int = CENTROIDS) -> LanguageModel:
     """Fit on at most ``per_lang`` rows of each language.
 
-    The sample is drawn by a hash of key and text, spread over the whole table: each
-    task passes on at most ``per_lang`` rows of a language. Rows whose text is null or
+    The sample is drawn by hashes of key and text, spread over the whole table, and
+    texts are read again for the drawn rows only. Rows whose text is null or
     letterless and rows without a language don't count. Trigrams are counted and
     languages clustered on the executors; the driver gets a count for each bucket, and
     of each language its centroids and at most ``per_lang`` numbers.
     """
     rows = labelled.select(F.col(key_col).alias("k"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("t is not null and l is not null").where(F.col("t").rlike(r"\p{L}"))
-    drawn = rows.select("l", "t", F.xxhash64(F.col("k").cast("string")).alias("u"), F.xxhash64("t").alias("v"))
-    place = F.row_number().over(Window.partitionBy("l").orderBy("u", "v"))
-    drawn = drawn.withColumn("place", place).where(F.col("place") <= per_lang)
+    hashed = rows.select("l", "t", F.xxhash64(F.col("k").cast("string")).alias("u"), F.xxhash64("t").alias("v"))
+    places = persist(draw(hashed.select("l", "u", "v"), per_lang), "langid-places")
+    langs = places.select("l").distinct().count()
+    if langs > MAX_LANGS:
+        drop(places)
+        raise ValueError(f"{langs} languages, more than {MAX_LANGS}")
+    drawn = hashed.join(F.broadcast(places), ["l", "u", "v"]).dropDuplicates(["l", "u", "v"])  # at most MAX_LANGS * per_lang places
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,15 +196,14 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.astype(np.int32) for x in at], pa.list_(pa.int32())), pa.array([row[x] for row, x in zip(counts, at, strict=True)], pa.list_(pa.float32()))], names=["l", "place", "at", "n"])
 
     sparse = persist(drawn.select("l", "t", "place").mapInArrow(count, "l string, place int, at array<int>, n array<float>"), "langid-sample")
-    sizes = sparse.agg(F.count("*").alias("rows"), F.countDistinct("l").alias("langs")).first()
-    if sizes["langs"] > MAX_LANGS:
-        raise ValueError(f"{sizes['langs']} languages, more than {MAX_LANGS}")
-    if not sizes["rows"]:
+    drop(places)
+    n = sparse.count()
+    if not n:
         return LanguageModel((), np.ones(BUCKETS, dtype=np.float32), np.zeros((BUCKETS, 0)), 0.0)
     df = np.zeros(BUCKETS)
     for bucket, n in sparse.select(F.explode("at").alias("b")).groupBy("b").agg(F.count("*")).collect():  # at most BUCKETS rows
         df[bucket] = n
-    idf = (np.log((1 + sizes["rows"]) / (1 + df)) + 1).astype(np.float32)
+    idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
 
     def cluster(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("place")

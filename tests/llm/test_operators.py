@@ -281,6 +281,16 @@ def test_language_sample_is_bounded(spark):
     assert model.predict(["\u00bd\u00b2\u2167 12"])[0] == ["und"] and not langid.has_letter("\u00bd \u2167") and langid.has_letter("\u00aa")
 
 
+@pytest.mark.parametrize("parts", [1, 50])
+def test_language_sample_is_drawn_alike(spark, monkeypatch, parts):
+    """A row that holds a third of the table fills one place, and the partitions don't matter."""
+    monkeypatch.setattr(langid, "CUT_ROWS", 10)
+    rows = [("en", 7, 7)] * 300 + [("en", i * 37 % 211, i % 3) for i in range(500)] + [("de", i, i) for i in range(9)]
+    out = langid.draw(spark.createDataFrame(rows, "l string, u long, v long").repartition(parts), 40).collect()
+    want = [(l, *x, i + 1) for l in ("en", "de") for i, x in enumerate(sorted({r[1:] for r in rows if r[0] == l})[:40])]
+    assert sorted(map(tuple, out)) == sorted(want)
+
+
 def test_held_out_accuracy(spark):
     """Languages of texts that the fit didn't see, and the rule that nothing else is an input."""
     from quiverline.llm import queries
