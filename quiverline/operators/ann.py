@@ -7,18 +7,18 @@ exactly, before the cut to ``k``.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quiverline.functions import distance as D
-from quiverline.operators.search import as_condition, knn
+from quiverline.operators.search import as_condition, knn, nearest_of_blocks
 from quiverline.plans.filters import Filter
 from quiverline.types import Metric
 
@@ -82,11 +82,14 @@ class LshIndex:
         self.metric, self.id_col, self.vec_col = Metric.of(metric), id_col, vec_col
         if self.metric not in (Metric.EUCLIDEAN, Metric.COSINE):
             raise ValueError("hashing is for euclidean and cosine")
-        v = F.coalesce(D.normalized(F.col(vec_col)), F.col(vec_col).cast("array<double>")) if self.metric is Metric.COSINE else F.col(vec_col).cast("array<double>")
-        features = df.withColumn("features", array_to_vector(v))
+        features = self._features(df, vec_col)
         self.model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", numHashTables=tables, bucketLength=bucket, seed=seed).fit(features)
         self.rows = self.model.transform(features)
 
+    def _features(self, df: DataFrame, vec_col: str) -> DataFrame:
+        v = F.col(vec_col).cast("array<double>")
+        return df.withColumn("features", array_to_vector(F.coalesce(D.normalized(F.col(vec_col)), v) if self.metric is Metric.COSINE else v))
+
     def search(self, query: Sequence[float], k: int, where: Filter | Column | None = None, columns: Sequence[str] = ()) -> DataFrame:
         """The exact nearest among rows that share a bucket with the query in some table."""
         q = np.array(query, dtype=float)
@@ -94,13 +97,38 @@ class LshIndex:
             q = q / np.linalg.norm(q)
         spark = self.rows.sparkSession
         hashes = self.model.transform(spark.createDataFrame([(q.tolist(),)], "v array<double>").select(array_to_vector("v").alias("features"))).first()["hashes"]
-        from pyspark.ml.functions import vector_to_array
-
         near = F.lit(False)
         for i, h in enumerate(hashes):
             near = near | (vector_to_array(F.col("hashes")[i])[0] == float(h[0]))
         return knn(self.rows.where(near), query, k, self.metric, where, self.id_col, self.vec_col, columns)
 
+    def search_batch(self, queries: DataFrame, k: int, where: Filter | Column | None = None, qid_col: str = "qid", qvec_col: str = "qv") -> DataFrame:
+        """``qid``, ``id``, ``distance``, ``rank``: :meth:`search` for every query, the rows read once for a block of them."""
+        one = self.rows.select(F.size(self.vec_col)).first()
+        hashed = self.model.transform(self._features(queries.where(F.size(qvec_col) == (one[0] if one else -1)), qvec_col))
+        rows = self.rows if (cond := as_condition(where)) is None else self.rows.where(cond)
+        rows = rows.select(F.col(self.id_col).cast("long").alias("id"), F.col(self.vec_col).alias("v"), _buckets().alias("key"))
+        return nearest_of_blocks(rows, hashed.select(qid_col, qvec_col, _buckets()), k, self.metric, self.id_col, qid_col, _ShareBucket)
+
+
+def _buckets() -> Column:
+    """The bucket in each table."""
+    return F.transform("hashes", lambda h: F.get(vector_to_array(h), F.lit(0)))
+
+
+@dataclass
+class _ShareBucket:
+    """Pairs of a row and a query that share a bucket in some table."""
+
+    of_queries: np.ndarray
+
+    def __call__(self, of_rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+        which = np.zeros((len(of_rows), len(self.of_queries)), dtype=bool)
+        for table in range(self.of_queries.shape[1]):
+            which |= of_rows[:, table, None] == self.of_queries[None, :, table]
+        row, of = which.any(axis=1).nonzero()[0], which.any(axis=0).nonzero()[0]
+        yield row, of, which[np.ix_(row, of)]
+
 
 @dataclass(frozen=True)
 class AnnConfig:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -48,39 +48,84 @@ def knn_batch(df: DataFrame, queries: DataFrame, k: int, metric: Metric | str =
     """
     if (cond := as_condition(where)) is not None:
         df = df.where(cond)
-    metric = Metric.of(metric)
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
+    return nearest_of_blocks(rows, queries.select(qid_col, qvec_col), k, Metric.of(metric), id_col, qid_col)
+
+
+#: For a block's queries: takes what a batch's rows have in ``key``; gives their candidates as numbers of rows, numbers of queries, and which pairs of these (``None``: all). No pair may come twice.
+Candidates = Callable[[np.ndarray], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]]
+
+
+def nearest_of_blocks(rows: DataFrame, queries: DataFrame, k: int, metric: Metric, id_col: str = "id", qid_col: str = "qid", among: Callable[[np.ndarray], Candidates] | None = None) -> DataFrame:
+    """The nearest ``rows`` (``id``, ``v``) of all ``queries`` (id, vector).
+
+    With ``among``, rows have a third column and queries may have one; ``among`` gets
+    the vectors of a block, or their third columns, and says which pairs are compared.
+    """
     found = None
-    for ids, vectors in _blocks(queries.select(qid_col, qvec_col)):
-        part = _nearest(df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")), ids, vectors, k, metric)
+    for ids, vectors, keys in _blocks(queries):
+        part = _nearest(rows, ids, vectors, k, metric, among(vectors if keys is None else keys) if among else None)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        return df.sparkSession.createDataFrame([], f"{qid_col} long, {id_col} long, distance double, rank int")
+        return rows.sparkSession.createDataFrame([], f"{qid_col} long, {id_col} long, distance double, rank int")
     w = Window.partitionBy("qid").orderBy("distance", "id")
     top = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.select(F.col("qid").alias(qid_col), F.col("id").alias(id_col), "distance", "rank")
 
 
-def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
     """Blocks of queries of one dimension each."""
+
+    def block(own: list) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        return np.array([x[0] for x in own]), np.array([x[1] for x in own], dtype=np.float64), np.array([x[2] for x in own]) if len(own[0]) > 2 else None
+
     held: dict[int, list] = {}
     for r in queries.toLocalIterator():
         own = held.setdefault(len(r[1]), [])
         own.append(r)
         if len(own) == QUERY_BLOCK:
-            yield np.array([x[0] for x in own]), np.array([x[1] for x in own], dtype=np.float64)
+            yield block(own)
             own.clear()
     for own in held.values():
         if own:
-            yield np.array([x[0] for x in own]), np.array([x[1] for x in own], dtype=np.float64)
-
-
-def _nearest(rows: DataFrame, qids: np.ndarray, queries: np.ndarray, k: int, metric: Metric) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast((qids, queries))
+            yield block(own)
+
+
+class _Best:
+    """The ``k`` nearest rows so far of each of ``n`` queries; ties by id."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.q, self.i, self.d = k, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        #: No row farther than this belongs to a query; NaN: nothing is known.
+        self.bound = np.full(n, np.nan)
+
+    def add(self, ids: np.ndarray, of: np.ndarray, d: np.ndarray, which: np.ndarray | None) -> None:
+        """Distances ``d`` of rows to the queries numbered ``of``; ``which`` of them count."""
+        bound = self.bound[of]
+        if (open_ := np.isnan(bound)).any() and len(d) >= self.k:
+            some = d[:, open_] if which is None else np.where(which[:, open_], d[:, open_], np.nan)
+            bound[open_] = np.partition(some, self.k - 1, axis=0)[self.k - 1]
+        near = (d <= bound) | np.isnan(bound)
+        row, query = np.nonzero(near if which is None else near & which)
+        if not len(row):
+            return
+        q, i, d = np.concatenate([self.q, of[query]]), np.concatenate([self.i, ids[row]]), np.concatenate([self.d, d[row, query]])
+        order = np.lexsort((i, d, q))
+        q, i, d = q[order], i[order], d[order]
+        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+        kept = rank < self.k
+        self.q, self.i, self.d = q[kept], i[kept], d[kept]
+        last = rank[kept] == self.k - 1
+        self.bound[self.q[last]] = self.d[last]
+
+
+def _nearest(rows: DataFrame, qids: np.ndarray, queries: np.ndarray, k: int, metric: Metric, candidates: Candidates | None = None) -> DataFrame:
+    sent = rows.sparkSession.sparkContext.broadcast((qids, queries, candidates))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = sent.value
-        best_d = np.full((len(q), 0), np.inf)
-        best_i = np.zeros((len(q), 0), dtype=np.int64)
+        ids, q, pairs = sent.value
+        best, all_q = _Best(len(q), k), np.arange(len(q))
         for batch in batches:
             lists = batch.column(1)
             fits = np.asarray(pa.compute.fill_null(pa.compute.equal(pa.compute.list_value_length(lists), q.shape[1]), False))
@@ -89,14 +134,13 @@ def _nearest(rows: DataFrame, qids: np.ndarray, queries: np.ndarray, k: int, met
             batch = batch.filter(pa.array(fits))
             own = batch.column(0).to_numpy()
             v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, q.shape[1])
+            keys = np.array(batch.column(2).to_pylist()) if pairs else None
             for low in range(0, len(v), 4096):
-                d = D.block_distances(metric, v[low : low + 4096], q).T
-                best_d = np.concatenate([best_d, d], axis=1)
-                best_i = np.concatenate([best_i, np.broadcast_to(own[low : low + 4096], d.shape)], axis=1)
-                order = np.lexsort((best_i, best_d), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
-        n = best_d.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n).astype(np.int64)), pa.array(best_i.ravel()), pa.array(best_d.ravel())], names=["qid", "id", "distance"])
+                at = np.arange(low, min(low + 4096, len(v)))
+                for row, of, which in pairs(keys[at]) if pairs else [(np.arange(len(at)), all_q, None)]:
+                    if len(row) and len(of):
+                        best.add(own[at[row]], of, D.block_distances(metric, v[at[row]], q[of]), which)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[best.q].astype(np.int64)), pa.array(best.i.astype(np.int64)), pa.array(best.d)], names=["qid", "id", "distance"])
 
     return rows.mapInArrow(run, "qid long, id long, distance double")
 

@@ -305,11 +305,8 @@ _add("bitmap_changes", "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus
 
 @_add("lsh_recall")
 def _lsh(spark, d):
-    index, found = LshIndex(_table(spark, d, "embeddings"), metric="euclidean", **OWN), None
-    for r in _few(spark, d).toLocalIterator():
-        one = index.search(list(r["qv"]), 10).select(F.lit(r["qid"]).cast("long").alias("qid"), F.col(ID).alias("id"))
-        found = one if found is None else found.unionByName(one)
-    return _recall(spark, d, found)
+    found = LshIndex(_table(spark, d, "embeddings"), metric="euclidean", **OWN).search_batch(_few(spark, d), 10)
+    return _recall(spark, d, found.withColumnRenamed(ID, "id"))
 
 
 @_add("ivf_recall")

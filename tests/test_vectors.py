@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quiverline import queries
 from quiverline.functions import distance as D, payload as P
-from quiverline.operators.ann import AnnConfig, GraphIndex, IvfIndex, recall_at_k
+from quiverline.operators.ann import AnnConfig, GraphIndex, IvfIndex, LshIndex, recall_at_k
 from quiverline.operators.bitmap import BitmapIndex
 from quiverline.operators.search import knn, knn_batch, knn_batch_expr
 from quiverline.plans.filters import Filter, field
@@ -149,6 +149,43 @@ def test_recall_of_defaults(spark, tmp_path, name):
     assert len(recall) == 20 and sum(recall) / 20 >= 0.9
 
 
+def scans_of(spark, folder, name, n):
+    """Scans of the table in the plan of a query over ``n`` rows."""
+    spark.createDataFrame([(i, [float(i % 7), float(i % 11), 1.0], 0) for i in range(n)], "vec_id long, embedding array<double>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    return queries.queries()[name](spark, str(folder))._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def of_each(spark, index, many, k, **how):
+    """What single searches find."""
+    return sorted((qid, r["id"], round(r["distance"], 9)) for qid, q in many for r in index.search(q, k, **how).collect())
+
+
+def test_lsh_batch(spark, tmp_path):
+    """Equals single searches, also where rows share no bucket, and its plan doesn't grow with the queries."""
+    rng = np.random.default_rng(5)
+    df = frame(spark, [(i, [float(x) for x in rng.integers(-3, 4, size=3)]) for i in range(150)] + [(900, [0.0, 0.0, 0.0])]).repartition(3)
+    many = [(i, [float(x) for x in rng.integers(-4, 5, size=3)]) for i in range(6)] + [(6, [0.0, 0.0, 0.0]), (7, [90.0, 90.0, 90.0])]
+    q = spark.createDataFrame([*many, (8, [1.0])], "qid long, qv array<double>")
+    for metric in ("euclidean", "cosine"):
+        for where in (None, field("id").gte(70)):
+            index = LshIndex(df, tables=2, bucket=0.7, metric=metric)
+            got = index.search_batch(q, 20, where).collect()
+            assert sorted((r["qid"], r["id"], round(r["distance"], 9)) for r in got) == of_each(spark, index, many, 20, where=where)
+            assert metric == "cosine" or len([r for r in got if r["qid"] == 7]) == 0
+    assert scans_of(spark, tmp_path / "a", "lsh_recall", 300) == scans_of(spark, tmp_path / "b", "lsh_recall", 1500)
+
+
+def test_batch_keeps_the_nearest_of_ties_and_nan(spark):
+    """Many rows at one distance, rows with NaN, and fewer rows than ``k``."""
+    rows = [(i, [float(i % 3), 0.0]) for i in range(9000)] + [(10_000 + i, [float("nan"), 0.0]) for i in range(50)]
+    df = frame(spark, sorted(rows, key=lambda r: hash(r[0] * 7919 % 9973))).repartition(2)
+    q = spark.createDataFrame([(0, [0.0, 0.0]), (1, [2.0, 0.0])], "qid long, qv array<float>")
+    got = sorted((r["qid"], r["rank"], r["id"]) for r in knn_batch(df, q, 5, "euclidean").collect())
+    assert got == [(0, i + 1, 3 * i) for i in range(5)] + [(1, i + 1, 3 * i + 2) for i in range(5)]
+    few = df.where("id < 3 OR id >= 10040")
+    assert [r["id"] for r in knn_batch(few, q.where("qid = 0"), 20, "euclidean").orderBy("rank").collect()] == [0, 1, 2, *range(10_040, 10_050)]
+
+
 def test_filters_of_plain_columns_mind_the_type(spark):
     """Only strings contain; only numbers have an order, and NaN has none."""
     df = spark.createDataFrame([(1, "b12", 2.0, float("nan")), (12, None, float("inf"), 3.0)], "i long, s string, d double, n double")
