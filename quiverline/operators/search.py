@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -14,6 +16,12 @@ from quiverline.types import Metric
 
 #: Queries that are sent to the tasks at once; more go in further blocks.
 QUERY_BLOCK = 2048
+#: Bytes of queries that :func:`knn_batch_expr` broadcasts at once.
+QUERY_BYTES = 32 << 20
+#: So many dimensions of queries, of at most so many values, are written out as columns.
+WRITTEN, WRITTEN_SIZE = 4, 256
+#: One row in so many is used for the bounds of queries.
+BOUND_PART = 16
 
 
 def as_condition(where: Filter | Column | None) -> Column | None:
@@ -146,10 +154,73 @@ def _nearest(rows: DataFrame, qids: np.ndarray, queries: np.ndarray, k: int, met
 
 
 def knn_batch_expr(df: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.COSINE, id_col: str = "id", vec_col: str = "vector", qid_col: str = "qid", qvec_col: str = "qv") -> DataFrame:
-    """:func:`knn_batch` by expressions alone, for few queries."""
-    few = queries.limit(QUERY_BLOCK + 1).count()
-    if few > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} queries: use knn_batch")
-    rows = df.join(F.broadcast(queries.select(qid_col, qvec_col)), F.size(vec_col) == F.size(qvec_col)).select(qid_col, id_col, D.distance(metric, F.col(vec_col), F.col(qvec_col)).alias("distance"))
-    w = Window.partitionBy(qid_col).orderBy("distance", id_col)
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """:func:`knn_batch` by expressions alone.
+
+    The dimensions of most queries are written out as a column for each value, others
+    go by functions of arrays. Queries stay off the driver; blocks of at most
+    ``QUERY_BYTES`` are broadcast. Every pair is compared, but only those reach the
+    sort that aren't beyond the query's bound (:func:`_with_bound`).
+    """
+    metric = Metric.of(metric)
+    rows = df.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_v"))
+    many = queries.select(F.col(qid_col).alias("_qid"), F.col(qvec_col).alias("_qv")).where(F.size("_qv") >= 0)
+    counts = {r["n"]: r["count"] for r in many.groupBy(F.size("_qv").alias("n")).count().orderBy(F.desc("count"), "n").limit(WRITTEN).collect() if 0 < r["n"] <= WRITTEN_SIZE}
+    parts = []
+    for size, n in counts.items():
+        blocks = -(-n * size * 8 // QUERY_BYTES)
+        for block in range(blocks):
+            some = many.where((F.size("_qv") == size) & (F.pmod(F.xxhash64("_qid"), F.lit(blocks)) == block))
+            parts.append(_near_by_columns(rows.where(F.size("_v") == size), some, size, k, metric))
+    rest = many.where(~F.size("_qv").isin(list(counts)))
+    size, n = rest.agg(F.coalesce(F.sum(F.size("_qv")), F.lit(0)), F.count("*")).first()
+    if n:
+        blocks = max(1, -(-size * 8 // QUERY_BYTES))
+        for block in range(blocks):
+            some = rest.where(F.pmod(F.xxhash64("_qid"), F.lit(blocks)) == block)
+            parts.append(rows.join(F.broadcast(some), F.size("_v") == F.size("_qv")).select("_qid", "_id", D.distance(metric, F.col("_v"), F.col("_qv")).alias("distance")))
+    found = functools.reduce(DataFrame.unionByName, parts) if parts else rows.crossJoin(many).select("_qid", "_id", F.lit(0.0).alias("distance"))
+    w = Window.partitionBy("_qid").orderBy("distance", "_id")
+    top = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top.select(F.col("_qid").alias(qid_col), F.col("_id").alias(id_col), "distance", "rank")
+
+
+def _near_by_columns(rows: DataFrame, queries: DataFrame, size: int, k: int, metric: Metric) -> DataFrame:
+    """Pairs of a row and a query of ``size`` values that aren't beyond the query's bound."""
+
+    def value(vec: str, i: int) -> Column:
+        x = F.get(vec, F.lit(i))
+        return F.coalesce((x > 0.5).cast("int") if metric is Metric.HAMMING else x, F.lit(0 if metric is Metric.HAMMING else float("nan"))).cast("double")
+
+    def flat(df: DataFrame, own: str, vec: str, to: str) -> DataFrame:
+        norm = [F.coalesce(D.norm(F.col(vec)), F.lit(float("nan"))).alias(f"{to}norm")] if metric is Metric.COSINE else []
+        return df.select(own, *norm, *(value(vec, i).alias(f"{to}{i}") for i in range(size)))
+
+    def total(of: Callable[[Column, Column], Column]) -> Column:
+        terms = [of(F.col(f"a{i}"), F.col(f"b{i}")) for i in range(size)]
+        return functools.reduce(operator.add, [functools.reduce(operator.add, terms[low : low + 16]) for low in range(0, size, 16)])
+
+    if metric in (Metric.COSINE, Metric.DOT):
+        dot = total(lambda a, b: a * b)
+        both = F.col("anorm") * F.col("bnorm")
+        d = -dot if metric is Metric.DOT else F.when(both == 0, F.lit(1.0)).otherwise(1 - dot / both)
+    else:
+        square = total(lambda a, b: (a - b) * (a - b))
+        d = F.sqrt(square) if metric is Metric.EUCLIDEAN else square
+    context = rows.sparkSession
+    tasks = max(4 * context.sparkContext.defaultParallelism, int(context.conf.get("spark.sql.shuffle.partitions")))
+    # Dealt out after the columns are made: within one stage, they would be made again for each pair.
+    rows, queries = flat(rows, "_id", "_v", "a").repartition(tasks), flat(queries, "_qid", "_qv", "b")
+    pairs = rows.crossJoin(F.broadcast(_with_bound(rows, queries, d, max(1, k))))
+    return pairs.where(F.col("bound").isNull() | ~(d > F.col("bound"))).select("_qid", "_id", d.alias("distance"))
+
+
+def _with_bound(rows: DataFrame, queries: DataFrame, d: Column, k: int) -> DataFrame:
+    """Queries with ``bound``: at least ``k`` rows are no farther; null if that isn't known.
+
+    A part of the rows is dealt into ``k`` groups; the nearest rows of the groups are
+    ``k`` rows, and the farthest of these gives the bound.
+    """
+    some = rows.where(F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(BOUND_PART)) == 0).withColumn("part", F.pmod(F.xxhash64("_id", F.lit(2)), F.lit(k)))
+    least = some.crossJoin(F.broadcast(queries)).groupBy("_qid", "part").agg(F.min(d).alias("least"))
+    bounds = least.groupBy("_qid").agg(F.when(F.count("*") == k, F.max("least")).alias("bound"))
+    return queries.join(bounds, "_qid", "left")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quiverline import queries
 from quiverline.functions import distance as D, payload as P
+from quiverline.operators import search
 from quiverline.operators.ann import AnnConfig, GraphIndex, IvfIndex, LshIndex, recall_at_k
 from quiverline.operators.bitmap import BitmapIndex
 from quiverline.operators.search import knn, knn_batch, knn_batch_expr
@@ -175,6 +176,23 @@ def test_lsh_batch(spark, tmp_path):
     assert scans_of(spark, tmp_path / "a", "lsh_recall", 300) == scans_of(spark, tmp_path / "b", "lsh_recall", 1500)
 
 
+def test_batch_by_expressions_of_many_queries(spark, monkeypatch):
+    """More queries than a block of the other engine, in several blocks, with ties, bounds and odd lengths."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, size=3)]) for i in range(700)] + [(1000 + i, [float(i), 1.0]) for i in range(9)] + [(2000, None), (2001, []), (2002, [float("nan"), 0.0, 1.0])]
+    df = frame(spark, rows, "id long, vector array<double>").repartition(3)
+    many = [(i, [float(x) for x in rng.integers(-2, 3, size=3)]) for i in range(search.QUERY_BLOCK + 60)] + [(9000, [3.0, 1.0]), (9001, [1.0] * 5), (9002, [0.0, 0.0, 0.0])]
+    q = spark.createDataFrame(many, "qid long, qv array<double>")
+    monkeypatch.setattr(search, "QUERY_BYTES", 20_000)
+    monkeypatch.setattr(search, "WRITTEN", 1)
+    for metric in ("cosine", "hamming"):
+        a, b = (sorted((r["qid"], r["rank"], round(r["distance"], 9)) for r in f(df, q, 3, metric).collect()) for f in (knn_batch, knn_batch_expr))
+        assert a == b and len(a) == 3 * (len(many) - 1)
+    got = {(r["qid"], r["rank"]): r["id"] for r in knn_batch_expr(df, q, 3, "hamming").collect()}
+    assert all(got[r["qid"], r["rank"]] == r["id"] for r in knn_batch(df, q, 3, "hamming").collect())
+    assert knn_batch_expr(df, q.limit(0), 3).count() == 0 and knn_batch_expr(df, q.limit(2), 0).count() == 0
+
+
 def test_batch_keeps_the_nearest_of_ties_and_nan(spark):
     """Many rows at one distance, rows with NaN, and fewer rows than ``k``."""
     rows = [(i, [float(i % 3), 0.0]) for i in range(9000)] + [(10_000 + i, [float("nan"), 0.0]) for i in range(50)]
