@@ -311,11 +311,8 @@ def _lsh(spark, d):
 
 @_add("ivf_recall")
 def _ivf_recall(spark, d):
-    index, found = IvfIndex.build(_table(spark, d, "embeddings"), metric="euclidean", **OWN), None
-    for r in _few(spark, d).toLocalIterator():
-        one = index.search(list(r["qv"]), 10).select(F.lit(r["qid"]).cast("long").alias("qid"), F.col(ID).alias("id"))
-        found = one if found is None else found.unionByName(one)
-    return _recall(spark, d, found)
+    found = IvfIndex.build(_table(spark, d, "embeddings"), metric="euclidean", **OWN).search_batch(_few(spark, d), 10)
+    return _recall(spark, d, found.withColumnRenamed(ID, "id"))
 
 
 @_add("recall_at_k", "SELECT vec_id AS qid, 1.0::DOUBLE AS recall FROM embeddings WHERE vec_id % 100 = 0")

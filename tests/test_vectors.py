@@ -176,6 +176,21 @@ def test_lsh_batch(spark, tmp_path):
     assert scans_of(spark, tmp_path / "a", "lsh_recall", 300) == scans_of(spark, tmp_path / "b", "lsh_recall", 1500)
 
 
+def test_ivf_batch(spark, tmp_path):
+    """Equals single searches of some cells, and its plan doesn't grow with the queries."""
+    rng = np.random.default_rng(7)
+    df = frame(spark, [(i, (rng.normal(size=4) + 3 * (i % 4)).tolist()) for i in range(200)]).repartition(3)
+    many = [(i, (rng.normal(size=4) + 3 * (i % 4)).tolist()) for i in range(6)]
+    q = spark.createDataFrame([*many, (8, [1.0])], "qid long, qv array<double>")
+    for metric in ("euclidean", "cosine"):
+        index = IvfIndex.build(df, 6, metric).save(str(tmp_path / metric))
+        for nprobe, where in ((1, None), (2, field("id").gte(70))):
+            got = index.search_batch(q, 60, nprobe, where).collect()
+            assert sorted((r["qid"], r["id"], round(r["distance"], 9)) for r in got) == of_each(spark, index, many, 60, nprobe=nprobe, where=where)
+            assert len(got) < 60 * len(many)
+    assert scans_of(spark, tmp_path / "a", "ivf_recall", 300) == scans_of(spark, tmp_path / "b", "ivf_recall", 1500)
+
+
 def test_batch_by_expressions_of_many_queries(spark, monkeypatch):
     """More queries than a block of the other engine, in several blocks, with ties, bounds and odd lengths."""
     rng = np.random.default_rng(6)
